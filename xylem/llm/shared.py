@@ -1,16 +1,27 @@
-"""Cutting lineage, and texts as keys."""
+"""Cutting lineage in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+def shared_folder(df: DataFrame) -> str:
+    """The folder spark.checkpoint.dir names; where none is named, as in a test on one machine, a temporary one."""
+    session = df.sparkSession
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="xylem-")
+        session.sparkContext.setCheckpointDir(folder)
+        folder = session.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{session.sparkContext.applicationId}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder that spark.checkpoint.dir names. Where no folder is named, as in a test
-    on one machine, a temporary one is."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="xylem-"))
-    return df.checkpoint()
+    """The rows of df, written as a table to the shared folder and read again: what follows starts there, also after an
+    executor is lost. The application's folder can go when the application has ended."""
+    path = f"{shared_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -97,7 +97,7 @@ def window_names(names: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     n = len(names) - size + 1
     if n <= 0:
         return np.zeros(0, U)
-    base = (_BASE * (2 * seed + 1) + 2 * seed) | 1
+    base = ((_BASE * (2 * seed + 1) + 2 * seed) & (1 << 64) - 1) | 1
     if size <= 8:
         out = np.zeros(n, U)
         for i in range(size):
