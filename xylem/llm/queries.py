@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from xylem.llm.jaccard_join import jaccard_join
+from xylem.llm.lm_scoring import lm_scoring
 from xylem.llm.packing import pack
 from xylem.llm.substring_dedup import substring_dedup
 
@@ -34,5 +35,9 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op5_jaccard_join)}
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op5_jaccard_join, op6_lm_scoring)}
 ORACLES: dict[str, str] = {}
