@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from xylem.llm.jaccard_join import jaccard_join
+from xylem.llm.language_id import language_id, learn
 from xylem.llm.lm_scoring import lm_scoring
 from xylem.llm.packing import pack
 from xylem.llm.substring_dedup import substring_dedup
@@ -39,5 +41,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op5_jaccard_join, op6_lm_scoring)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return language_id(docs.select("doc_id", held_out.alias("held_out"), "text"), learn(docs.where(~held_out))).drop("text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op5_jaccard_join, op6_lm_scoring, op9_language_id)}
 ORACLES: dict[str, str] = {}
