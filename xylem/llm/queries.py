@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from xylem.llm.fingerprints import document_fingerprints
 from xylem.llm.jaccard_join import jaccard_join
 from xylem.llm.language_id import language_id, learn
 from xylem.llm.lm_scoring import lm_scoring
@@ -47,5 +48,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs.select("doc_id", held_out.alias("held_out"), "text"), learn(docs.where(~held_out))).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op5_jaccard_join, op6_lm_scoring, op9_language_id)}
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op5_jaccard_join, op6_lm_scoring, op9_language_id, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}
