@@ -11,6 +11,7 @@ from xylem.llm.fingerprints import document_fingerprints
 from xylem.llm.jaccard_join import jaccard_join
 from xylem.llm.language_id import language_id, learn
 from xylem.llm.lm_scoring import lm_scoring
+from xylem.llm.nearest import nearest
 from xylem.llm.packing import pack
 from xylem.llm.substring_dedup import substring_dedup
 
@@ -52,5 +53,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op5_jaccard_join, op6_lm_scoring, op9_language_id, op10_document_fingerprints)}
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op5_jaccard_join, op6_lm_scoring, op7_nearest, op9_language_id, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}
