@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from xylem.llm.shared import checkpointed
 from xylem.llm.wordpool import WordPool
-from xylem.llm.words import LOWER, slices, text_bytes
+from xylem.llm.words import LOWER, slices, text_bytes, word_bounds
 
 LENGTH, UNIT, END = 4096, 16, 2
 _pools: dict[str, WordPool] = {}
@@ -32,16 +32,18 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
-def _units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Lower-cases A-Z, and cuts a full stop or comma from the plain letter or digit before it, as the tokenizer does; its
     special tokens are matched before it lower-cases, so bytes that may hold one stay as they are."""
     if b"<|" not in data.tobytes():
         data = LOWER[data]
+    starts, ends, _ = word_bounds(data, offsets)
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     tail = ((last == 44) | (last == 46)) & (ends - starts > 1)
     tail[tail] = _PLAIN[data[ends[tail] - 2]]
     cut = ends[tail] - 1
-    return data, np.sort(np.r_[starts, cut]), np.sort(np.r_[ends, cut])
+    starts, ends = np.sort(np.r_[starts, cut]), np.sort(np.r_[ends, cut])
+    return data, starts, ends, np.searchsorted(starts, offsets)
 
 
 def pool(tokenizer: str) -> WordPool:
@@ -62,7 +64,7 @@ def pool(tokenizer: str) -> WordPool:
                 ids.append(np.array(found.ids, np.uint32))
             return np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
 
-        _pools[tokenizer] = WordPool(encode, units=_units)
+        _pools[tokenizer] = WordPool(encode, bounds=_units)
     return _pools[tokenizer]
 
 

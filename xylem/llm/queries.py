@@ -13,6 +13,7 @@ from xylem.llm.language_id import language_id, learn
 from xylem.llm.lm_scoring import lm_scoring
 from xylem.llm.nearest import nearest
 from xylem.llm.packing import pack
+from xylem.llm.sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
 from xylem.llm.substring_dedup import substring_dedup
 
 
@@ -35,6 +36,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = sentencepiece_decode(sentencepiece_encode(docs, model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -58,5 +66,5 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op5_jaccard_join, op6_lm_scoring, op7_nearest, op9_language_id, op10_document_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_sentencepiece, op5_jaccard_join, op6_lm_scoring, op7_nearest, op9_language_id, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}

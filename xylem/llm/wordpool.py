@@ -19,10 +19,11 @@ MOST = 2_000_000
 
 
 class WordPool:
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MOST, units: Callable | None = None):
-        """encode: words to their counts of ids and all ids in a row. units: (bytes, starts, ends of words) to those of
-        parts that the encoder treats alike wherever they stand."""
-        self.encode, self.most, self.units = encode, most, units
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MOST, bounds: Callable | None = None):
+        """encode: words to their counts of ids and all ids in a row. bounds: (bytes, rows' offsets) to (bytes, starts, ends,
+        rows' first units) of parts that the encoder treats alike wherever they stand; by default, words."""
+        self.encode, self.most = encode, most
+        self.bounds = bounds or (lambda data, offsets: (data, *word_bounds(data, offsets)))
         self.names, self.begin, self.size, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _empty(self) -> None:
@@ -39,10 +40,7 @@ class WordPool:
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all rows in a row, and the rows' offsets in them."""
-        starts, ends, first = word_bounds(data, offsets)
-        if self.units:
-            data, starts, ends = self.units(data, starts, ends)
-            first = np.searchsorted(starts, offsets)
+        data, starts, ends, first = self.bounds(data, offsets)
         names, at, inverse = np.unique(word_names(data, starts, ends), return_index=True, return_inverse=True)
         new = ~member(names, self.names)
         if new.any():
