@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from xylem.llm.chat_format import chat_format
 from xylem.llm.fingerprints import document_fingerprints
 from xylem.llm.jaccard_join import jaccard_join
 from xylem.llm.language_id import language_id, learn
@@ -51,6 +52,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(_table(spark, sf_dir, "conversations"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -66,5 +71,5 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_sentencepiece, op5_jaccard_join, op6_lm_scoring, op7_nearest, op9_language_id, op10_document_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_sentencepiece, op5_jaccard_join, op6_lm_scoring, op7_nearest, op8_chat_format, op9_language_id, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}
