@@ -10,9 +10,11 @@ after the shared n-gram, bound the overlap below what t asks for. Whole texts
 then decide each remaining pair exactly.
 
 A column of many near copies is not multiplied out. First each set meets the
-next one of its column; links found give components. Then only pairs of sets
-that are still in different components are formed, which loses no link between
-components, so the components are those of the full product.
+next one of its column; links found give components. Rows of columns that still
+hold several components are clustered over these columns and dealt to blocks of
+whole rows; blocks of a cluster whose sizes may fit are multiplied, all overlaps
+counted, and only links between components kept. No link between components is
+lost, so the components are those of the full product.
 """
 
 from __future__ import annotations
@@ -185,27 +187,71 @@ def _product(percent: int):
     return multiply
 
 
-def _across(percent: int):
-    def across(table: pa.Table) -> pa.Table:
-        """Pairs of a column's rows that lie in different components, one of the two in this class of sizes."""
-        o, s, l, c, own = (table.column(x).to_numpy() for x in ("owner", "size", "left", "component", "own"))
-        order = np.lexsort((o, s))
-        o, s, l, c, own = o[order], s[order].astype(np.int64), l[order], c[order], own[order].astype(bool)
-        names, member = np.unique(c, return_inverse=True)
-        largest = np.bincount(member).argmax()
-        out_a, out_b = [], []
-        for i in np.flatnonzero(member != largest).tolist():
-            low = np.searchsorted(s, -(-percent * s[i] // 100))
-            high = np.searchsorted(s, 100 * s[i] // percent, "right")
-            j = np.arange(low, high)
-            j = j[(member[j] != member[i]) & ((member[j] == largest) | (j > i)) & (own[j] | own[i])]
-            j = j[np.minimum(l[i], l[j]) >= _ceil_overlap(s[i : i + 1], s[j], percent)]
-            out_a.append(np.full(len(j), o[i]))
-            out_b.append(o[j])
-        a, b, _ = _pairs(np.concatenate([*out_a, np.zeros(0, np.int64)]), np.concatenate([*out_b, np.zeros(0, np.int64)]))
-        return pa.table({"a": a, "b": b})
-
-    return across
+def _block(table: pa.Table) -> pa.Table:
+    """A block of rows of the matrix as one row: names, components, sizes and all n-grams in a row."""
+    owner, component, size = (table.column(c).to_numpy() for c in ("owner", "component", "size"))
+    grams = b"".join(table.column("grams").to_pylist())
+    return pa.table({"cluster": table.column("cluster")[:1], "band": table.column("band")[:1], "part": table.column("part")[:1], "least": [component.min()], "most": [component.max()], "rows": pa.array([np.r_[owner, component, size.astype(np.int64)].tobytes()], pa.binary()), "grams": pa.array([grams], pa.binary())}, schema=BLOCK_ARROW)
+
+
+BLOCK = "cluster long, band int, part long, least long, most long, rows binary, grams binary"
+BLOCK_ARROW = pa.schema([("cluster", pa.int64()), ("band", pa.int32()), ("part", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("rows", pa.binary()), ("grams", pa.binary())])
+
+
+def _block_links(rows_a: bytes, grams_a: bytes, rows_b: bytes, grams_b: bytes, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of two blocks that lie in different components, one for each row and component it reaches. The
+    rows of the components that are not the two blocks' largest are multiplied with all rows of the other block."""
+    sides = []
+    for rows, grams in ((rows_a, grams_a), (rows_b, grams_b)):
+        owner, component, size = np.frombuffer(rows, np.int64).reshape(3, -1)
+        sides.append((owner, component, size, np.frombuffer(grams, U), np.r_[0, np.cumsum(size)]))
+    names, counts = np.unique(np.concatenate([sides[0][1], sides[1][1]]), return_counts=True)
+    largest = names[counts.argmax()]
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for (owner, component, size, grams, begin), (other, to, sizes, all_grams, starts) in (sides, sides[::-1]):
+        if not len(other):
+            continue
+        for i in np.flatnonzero(component != largest).tolist():
+            both = np.add.reduceat(blocks.member(all_grams, grams[begin[i] : begin[i + 1]]), starts[:-1], dtype=np.int64)
+            hit = np.flatnonzero((100 * both >= percent * (size[i] + sizes - both)) & (to != component[i]))
+            hit = hit[np.unique(to[hit], return_index=True)[1]]
+            out_a.append(np.full(len(hit), owner[i]))
+            out_b.append(other[hit])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int, percent: int, most: int = 150_000) -> DataFrame:
+    """All links between components that open_rows (cluster, owner, component, size) leave possible. A cluster's rows are
+    dealt to blocks by class of size, of about ``most`` n-grams each; blocks of one class or of neighbours are multiplied."""
+    held = open_rows.join(sets.select(F.col("name").alias("owner"), "doc_id"), "owner")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = list(ngram_sets(part.column("text"), n))
+                own = pa.array([set_name(x) == y for x, y in zip(found, part.column("owner").to_pylist(), strict=True)], pa.bool_())
+                full = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "owner", "component", "size")), pa.array([x.tobytes() for x in found], pa.binary())], names=["cluster", "owner", "component", "size", "grams"])
+                yield full.filter(own)  # repeated ids bring texts of other sets
+
+    filled = held.join(texts, "doc_id").select("cluster", "owner", "component", "size", "text").mapInArrow(fill, "cluster long, owner long, component long, size int, grams binary")
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) * 1.001)).cast("int")
+    placed = filled.dropDuplicates(["owner"]).withColumn("band", band)
+    parts = open_rows.withColumn("band", band).groupBy("cluster", "band").agg(F.ceil(F.sum("size") / most).cast("long").alias("parts"))
+    dealt = placed.join(parts, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("owner"), F.col("parts"))).drop("parts")
+    made = checkpointed(dealt.groupBy("cluster", "band", "part").applyInArrow(_block, BLOCK))
+    a, b = made.alias("a"), made.alias("b")
+    near = F.col("a.cluster") == F.col("b.cluster")
+    later = ((F.col("a.band") == F.col("b.band")) & (F.col("a.part") <= F.col("b.part"))) | (F.col("a.band") + 1 == F.col("b.band"))
+    mixed_up = (F.col("a.least") != F.col("a.most")) | (F.col("b.least") != F.col("b.most")) | (F.col("a.least") != F.col("b.least"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("rows_a", "grams_a", "rows_b", "grams_b")), strict=True):
+                x, y = _block_links(*row, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    pairs = a.join(b, near & later & mixed_up).select(F.col("a.rows").alias("rows_a"), F.col("a.grams").alias("grams_a"), F.col("b.rows").alias("rows_b"), F.col("b.grams").alias("grams_b"))
+    return pairs.mapInArrow(multiply, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, holder: DataFrame, n: int, percent: int) -> DataFrame:
@@ -257,14 +303,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     pairs = product.where("b is not null").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     links = checkpointed(_verified(pairs, texts, sets, n, percent))
     first = components(links)
-    # pairs across components, in columns and classes of sizes that hold more than one
-    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) * 1.001)).cast("int")
-    parts = product.where("gram is not null").withColumnRenamed("a", "owner").join(first.withColumnRenamed("node", "owner"), "owner", "left")
-    parts = parts.select("gram", "owner", "size", "left", F.coalesce("component", "owner").alias("component"), F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x"))
-    parts = parts.select("gram", "owner", "size", "left", "component", "x.band", "x.own")
-    open_groups = parts.groupBy("gram", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("own").alias("any_own")).where("least <> most and any_own").select("gram", "band")
-    across = parts.join(open_groups, ["gram", "band"]).groupBy("gram", "band").applyInArrow(_across(percent), "a long, b long")
-    more = checkpointed(_verified(across.distinct(), texts, sets, n, percent))
+    # what may still link: rows of columns that hold several components, clustered over these columns
+    entry = product.where("gram is not null").select("gram", F.col("a").alias("owner"), "size").join(first.withColumnRenamed("node", "owner"), "owner", "left")
+    entry = entry.withColumn("component", F.coalesce("component", "owner"))
+    mixed_columns = entry.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("gram", F.col("least").alias("hub"))
+    open_rows = checkpointed(entry.join(mixed_columns, "gram").select("owner", "component", "size", "hub").distinct())
+    clusters = components(open_rows.select(F.col("component").alias("a"), F.col("hub").alias("b")))
+    open_rows = checkpointed(open_rows.select("owner", "component", "size").distinct().join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"))
+    more = checkpointed(_open_links(open_rows, texts, sets, n, percent))
     groups = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     member = sets.join(groups.withColumnRenamed("node", "name"), "name", "left").select("name", "doc_id", F.coalesce("component", "name").alias("group"))
     smallest = member.groupBy("group").agg(F.min("doc_id").alias("component_id"))
