@@ -114,12 +114,16 @@ def stream(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.nda
 
 def contexts(symbols: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
     """The gram that ends at each byte; before a row's first byte stand line feeds."""
-    begin = np.repeat(offsets[:-1], np.diff(offsets))
-    index = np.arange(len(symbols))
     out = symbols.astype(U)
+    rows = np.flatnonzero(np.diff(offsets) > 0)
+    first, last = offsets[rows], offsets[rows + 1]
     for d in range(1, depth + 1):
         before = np.full(len(symbols), 10, np.uint8)
         before[d:] = symbols[: max(0, len(symbols) - d)]
-        before[index - d < begin] = 10
-        out |= before.astype(U) << U(8 * (depth + 1 - d))
+        for i in range(d):  # the first d bytes of each row
+            at = first + i
+            before[at[at < last]] = 10
+        part = before.astype(U)
+        part <<= U(8 * (depth + 1 - d))
+        out |= part
     return out

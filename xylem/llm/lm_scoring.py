@@ -24,8 +24,10 @@ from xylem.llm.shared import checkpointed
 from xylem.llm.words import LOWER, U, mixed, slices, text_bytes, word_bounds, word_names
 
 #: Bytes of context, and distinct names that a task holds before it passes them on.
-DEPTH, HELD = 5, 3_000_000
+DEPTH, HELD = 5, 1_500_000
 WORD, GRAM = 0, 1
+#: Bytes of text whose grams are in memory at a time.
+PART = 1 << 21
 
 
 def _read(texts: pa.Array, depth: int):
@@ -126,7 +128,7 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Counts(WORD), _Counts(GRAM)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 train = part.column("trained").to_numpy(zero_copy_only=False).astype(np.int64)
                 names, first, grams, bounds = _read(part.column("text"), depth)
                 held[0].add(names, np.repeat(train, np.diff(first)))
@@ -170,10 +172,22 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
 
     texts = docs.select(blocks.block_of(F.col("doc_id"), n_blocks).alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), flag.alias("trained"))
 
+    def parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in table.to_batches():
+            yield from slices(batch, "text", PART)
+
+    def distinct_names(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The words and grams of a block, sorted."""
+        found: tuple[list, list] = [], []
+        for part in parts(table):
+            names, _, grams, _ = _read(part.column("text"), depth)
+            found[0].append(np.unique(names))
+            found[1].append(np.unique(grams))
+        return tuple(np.unique(np.concatenate([*x, np.zeros(0, U)])) for x in found)
+
     def ask(table: pa.Table) -> pa.Table:
-        names, _, grams, _ = _read(table.column("text").combine_chunks(), depth)
         out = []
-        for kind, found in ((WORD, np.unique(names)), (GRAM, np.unique(grams))):
+        for kind, found in zip((WORD, GRAM), distinct_names(table), strict=True):
             order, bucket, spans = _spans(kind, found, buckets, depth)
             found = found[order]
             out += [(kind, int(bucket[a]), table.column("block")[0].as_py(), found[a:b].tobytes()) for a, b in spans]
@@ -190,27 +204,29 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
         return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "values": pa.array(told, pa.binary())})
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, first, grams, bounds = _read(left.column("text").combine_chunks(), depth)
         right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         told = {k: [] for k in (WORD, GRAM)}
         for kind, x in zip(right.column("kind").to_pylist(), right.column("values").to_pylist(), strict=True):
             told[kind].append(np.frombuffer(x, np.int64 if kind == WORD else np.float32))
-
-        def values(kind: int, found: np.ndarray) -> np.ndarray:
-            found, inverse = np.unique(found, return_inverse=True)
-            out = np.zeros(len(found))
-            if len(found):
-                out[_spans(kind, found, buckets, depth)[0]] = np.concatenate(told[kind])
-            return out[inverse]
-
-        known, n = values(WORD, names), left.num_rows
-        row = np.repeat(np.arange(n), np.diff(first))
-        base = np.bincount(row, np.log10((known + 0.5) / spread), n) + np.log10((n_train + 0.5) / spread)
-        size = np.diff(bounds)
-        tree = np.bincount(np.repeat(np.arange(n), size), values(GRAM, grams), n)
-        held_out = ~left.column("trained").to_numpy(zero_copy_only=False).astype(bool)
-        columns = (held_out, np.diff(first) + 1, np.bincount(row, known > 0, n).astype(np.int64) + int(n_train > 0), np.full(n, n_tokens), base, tree, -tree / np.log10(2) / size)
-        return pa.table([left.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        known = distinct_names(left)
+        values = []
+        for kind in (WORD, GRAM):
+            out = np.zeros(len(known[kind]))
+            if len(out):
+                out[_spans(kind, known[kind], buckets, depth)[0]] = np.concatenate(told[kind])
+            values.append(out)
+        done = []
+        for part in parts(left):
+            names, first, grams, bounds = _read(part.column("text"), depth)
+            n, row = part.num_rows, np.repeat(np.arange(part.num_rows), np.diff(first))
+            count = values[WORD][np.searchsorted(known[WORD], names)]
+            base = np.bincount(row, np.log10((count + 0.5) / spread), n) + np.log10((n_train + 0.5) / spread)
+            size = np.diff(bounds)
+            tree = np.bincount(np.repeat(np.arange(n), size), values[GRAM][np.searchsorted(known[GRAM], grams)], n)
+            held_out = ~part.column("trained").to_numpy(zero_copy_only=False).astype(bool)
+            columns = (held_out, np.diff(first) + 1, np.bincount(row, count > 0, n).astype(np.int64) + int(n_train > 0), np.full(n, n_tokens), base, tree, -tree / np.log10(2) / size)
+            done.append(pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]))
+        return pa.Table.from_batches(done)
 
     asks = texts.groupBy("block").applyInArrow(ask, "kind int, bucket int, block int, names binary").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
     spread_model = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
