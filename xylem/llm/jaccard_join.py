@@ -199,25 +199,33 @@ BLOCK_ARROW = pa.schema([("cluster", pa.int64()), ("band", pa.int32()), ("part",
 
 
 def _block_links(rows_a: bytes, grams_a: bytes, rows_b: bytes, grams_b: bytes, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of two blocks that lie in different components, one for each row and component it reaches. The
-    rows of the components that are not the two blocks' largest are multiplied with all rows of the other block."""
+    """Links between rows of two blocks that lie in different components, as far as they join components that the links
+    before them have not: a spanning forest of all such links. A row is multiplied with the other block's rows unless all
+    of them are in its component by then."""
     sides = []
     for rows, grams in ((rows_a, grams_a), (rows_b, grams_b)):
         owner, component, size = np.frombuffer(rows, np.int64).reshape(3, -1)
         sides.append((owner, component, size, np.frombuffer(grams, U), np.r_[0, np.cumsum(size)]))
     names, counts = np.unique(np.concatenate([sides[0][1], sides[1][1]]), return_counts=True)
-    largest = names[counts.argmax()]
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for (owner, component, size, grams, begin), (other, to, sizes, all_grams, starts) in (sides, sides[::-1]):
-        if not len(other):
-            continue
-        for i in np.flatnonzero(component != largest).tolist():
+    where = [np.searchsorted(names, side[1]) for side in sides]
+    root = np.arange(len(names))
+    largest = counts.argmax()
+    out_a, out_b = [], []
+    for i_side, j_side in ((0, 1), (1, 0)):
+        owner, _, size, grams, begin = sides[i_side]
+        other, _, sizes, all_grams, starts = sides[j_side]
+        for i in np.flatnonzero(where[i_side] != largest).tolist():
+            apart = root[where[j_side]] != root[where[i_side][i]]
+            if not apart.any():
+                continue
             both = np.add.reduceat(blocks.member(all_grams, grams[begin[i] : begin[i + 1]]), starts[:-1], dtype=np.int64)
-            hit = np.flatnonzero((100 * both >= percent * (size[i] + sizes - both)) & (to != component[i]))
-            hit = hit[np.unique(to[hit], return_index=True)[1]]
-            out_a.append(np.full(len(hit), owner[i]))
-            out_b.append(other[hit])
-    return np.concatenate(out_a), np.concatenate(out_b)
+            for j in np.flatnonzero(apart & (100 * both >= percent * (size[i] + sizes - both))).tolist():
+                x, y = root[where[i_side][i]], root[where[j_side][j]]
+                if x != y:
+                    root[root == max(x, y)] = min(x, y)
+                    out_a.append(int(owner[i]))
+                    out_b.append(int(other[j]))
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
 def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int, percent: int, most: int = 150_000) -> DataFrame:
