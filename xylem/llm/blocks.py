@@ -38,9 +38,10 @@ def block_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
 
 
-def blocked(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, doc_id, text); null texts are empty."""
-    return docs.select(block_of(F.col(doc_id), n).alias("block"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def blocked(docs: DataFrame, n: int, keep: list[str] | None = None) -> DataFrame:
+    """(block, doc_id, text) and, if there are columns to keep, kept, a structure of them; null texts are empty."""
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    return docs.select(block_of(F.col("doc_id"), n).alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *kept)
 
 
 def asked(block: int, names: np.ndarray, buckets: int) -> list[tuple[int, int, bytes, bytes]]:

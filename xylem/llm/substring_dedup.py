@@ -144,18 +144,18 @@ def _covered(repeats: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Finds all words covered by a window of ``window`` words that also starts anywhere else, in any row of ``docs``
     (doc_id, text), the same row included; windows are judged on the input.
 
     Returns for each row doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space, UTF-8), removed
     (spans of words, end exclusive) and, with_text, kept_text: the text without the removed words and the white space
-    before them. Null and empty texts have no words and keep nothing, other columns of ``docs`` are ignored, repeated rows
+    before them; and kept, a structure of the columns named in ``keep``. Null and empty texts have no words and keep nothing, other columns of ``docs`` are ignored, repeated rows
     count as separate places, and an empty table gives an empty result. The longest text is held by one task."""
     if window < 2:
         raise ValueError("a window has two words at least")
     n_blocks, n_buckets = blocks.counts(blocks.text_size(docs))
-    texts = blocks.blocked(docs, n_blocks)
+    texts = blocks.blocked(docs, n_blocks, keep)
     id_type = dict(texts.dtypes)["doc_id"]
 
     def symbols(table: pa.Table) -> pa.Table:
@@ -183,7 +183,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
 
     shared = blocks.repeated(texts.groupBy("block").applyInArrow(symbols, blocks.ASKED))
     verified = blocks.repeated(texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(windows, blocks.ASKED))
-    schema = f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", kept_text string" * with_text
+    schema = f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>" + ", kept_text string" * with_text + (f", kept {dict(texts.dtypes)['kept']}" if keep else "")
     return texts.groupBy("block").cogroup(verified.groupBy("block")).applyInArrow(apply, schema)
 
 
@@ -219,4 +219,6 @@ def _rows(left, data, offsets, starts, ends, first, gone, with_text) -> pa.Table
         "kept_sha256": pa.array(digests, pa.string()),
         "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
     }
-    return pa.table(columns | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
+    columns |= {"kept_text": pa.array(texts, pa.string())} if with_text else {}
+    columns |= {"kept": left.column("kept")} if "kept" in left.column_names else {}
+    return pa.table(columns)
