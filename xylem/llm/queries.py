@@ -11,6 +11,7 @@ from xylem.llm.chat_format import chat_format
 from xylem.llm.fingerprints import document_fingerprints
 from xylem.llm.jaccard_join import jaccard_join
 from xylem.llm.language_id import language_id, learn
+from xylem.llm.license_scan import license_scan
 from xylem.llm.lm_scoring import lm_scoring
 from xylem.llm.nearest import nearest
 from xylem.llm.packing import pack
@@ -44,6 +45,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -71,5 +76,5 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_sentencepiece, op5_jaccard_join, op6_lm_scoring, op7_nearest, op8_chat_format, op9_language_id, op10_document_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_sentencepiece, op4_license_scan, op5_jaccard_join, op6_lm_scoring, op7_nearest, op8_chat_format, op9_language_id, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}
