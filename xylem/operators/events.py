@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from xylem.operators.scanner import CDATA, END_DOCUMENT, START_DOCUMENT, TEXT, Event, XmlError, scan
 from xylem.options import XmlOptions
@@ -39,12 +40,6 @@ EVENT_COLUMNS: dict[str, tuple[T.DataType, Callable[[Event], object]]] = {
 BATCH_BYTES = 4 << 20
 
 
-def arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind, timezone="UTC")
-
-
 def _keyed(docs: DataFrame, key: str, content: str) -> DataFrame:
     """(key, content as binary); strings enter as UTF-8."""
     column = F.col(content)
@@ -56,7 +51,7 @@ def _keyed(docs: DataFrame, key: str, content: str) -> DataFrame:
 def per_document(docs: DataFrame, each: Callable[[bytes], Iterator[tuple]], fields: list[T.StructField], key: str = "doc_id", content: str = "content") -> DataFrame:
     """The rows that ``each`` makes of a document, after its key. Null documents make none."""
     source = _keyed(docs, key, content)
-    types = [arrow_type(f.dataType) for f in fields]
+    types = [to_arrow_type(f.dataType) for f in fields]
     names = [key, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
