@@ -247,10 +247,11 @@ def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int,
     parts = open_rows.withColumn("band", band).groupBy("cluster", "band").agg(F.ceil(F.sum("size") / most).cast("long").alias("parts"))
     dealt = placed.join(parts, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("owner"), F.col("parts"))).drop("parts")
     made = checkpointed(dealt.groupBy("cluster", "band", "part").applyInArrow(_block, BLOCK))
-    a, b = made.alias("a"), made.alias("b")
-    near = F.col("a.cluster") == F.col("b.cluster")
+    light = made.select("cluster", "band", "part", "least", "most")
+    a, b = light.alias("a"), light.alias("b")
     later = ((F.col("a.band") == F.col("b.band")) & (F.col("a.part") <= F.col("b.part"))) | (F.col("a.band") + 1 == F.col("b.band"))
     mixed_up = (F.col("a.least") != F.col("a.most")) | (F.col("b.least") != F.col("b.most")) | (F.col("a.least") != F.col("b.least"))
+    matched = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & later & mixed_up).select("a.cluster", F.col("a.band").alias("band_a"), F.col("a.part").alias("part_a"), F.col("b.band").alias("band_b"), F.col("b.part").alias("part_b"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +259,9 @@ def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int,
                 x, y = _block_links(*row, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    pairs = a.join(b, near & later & mixed_up).select(F.col("a.rows").alias("rows_a"), F.col("a.grams").alias("grams_a"), F.col("b.rows").alias("rows_b"), F.col("b.grams").alias("grams_b"))
+    side = lambda x: made.select("cluster", F.col("band").alias(f"band_{x}"), F.col("part").alias(f"part_{x}"), F.col("rows").alias(f"rows_{x}"), F.col("grams").alias(f"grams_{x}"))
+    # keyed by block, so that the blocks of a large cluster spread over tasks
+    pairs = matched.join(side("a"), ["cluster", "band_a", "part_a"]).join(side("b"), ["cluster", "band_b", "part_b"])
     return pairs.mapInArrow(multiply, "a long, b long")
 
 
