@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from xylem.llm.shared import checkpointed
-from xylem.llm.words import U, mixed, slices, text_bytes, window_names
+from xylem.llm.words import U, distinct_counts, mixed, slices, text_bytes, window_names
 
 #: Bytes in an n-gram; slots in the table; slots of an n-gram; n-grams that a task holds before it passes them on.
 SIZE, SLOTS, HASHES, HELD = 5, 1 << 20, 3, 2_000_000
@@ -127,7 +127,7 @@ def learn(docs: DataFrame, salts: int = 64) -> LanguageFilter:
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
                 names, owner = grams(part.column("text"))
                 for i in np.unique(lang):
-                    found, n = np.unique(names[lang[owner] == i], return_counts=True)
+                    found, n = distinct_counts(names[lang[owner] == i])
                     if len(found):
                         held.setdefault(int(i), []).append((found, n))
                         size += len(found)

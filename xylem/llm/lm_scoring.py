@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from xylem.llm import blocks
 from xylem.llm.ctw import Level, contexts, levels, log10_probabilities, stream
 from xylem.llm.shared import checkpointed
-from xylem.llm.words import LOWER, U, mixed, slices, text_bytes, word_bounds, word_names
+from xylem.llm.words import LOWER, Places, U, distinct, distinct_counts, mixed, slices, text_bytes, word_bounds, word_names
 
 #: Bytes of context, and distinct names that a task holds before it passes them on.
 DEPTH, HELD = 5, 1_500_000
@@ -56,10 +56,12 @@ class _Counts:
     def __init__(self, kind: int):
         self.kind, self.parts, self.size = kind, [], 0
 
-    def add(self, names: np.ndarray, weight: np.ndarray) -> None:
-        names, inverse = np.unique(names, return_inverse=True)
-        self.parts.append((names, np.bincount(inverse, weight, len(names)).astype(np.int64)))
-        self.size += len(names)
+    def add(self, names: np.ndarray, trained: np.ndarray) -> None:
+        """Counts the trained names; the others are kept with a count of 0."""
+        counted, counts = distinct_counts(names[trained])
+        others = distinct(names[~trained])
+        self.parts += [(counted, counts), (others, np.zeros(len(others), np.int64))]
+        self.size += len(counted) + len(others)
         if self.size > HELD:
             self.parts = [self.total()]
             self.size = len(self.parts[0][0])
@@ -120,6 +122,8 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
     tree's probability of the words joined by one space and closed by the end) and bits_per_byte. Repeated rows count and
     are scored each; other columns are ignored; an empty table gives an empty result; with no training row every
     estimate is the uniform one."""
+    if not 2 <= depth <= 7:
+        raise ValueError("depth must be from 2 to 7")
     flag = F.coalesce(F.expr(trained), F.lit(True))
     total = blocks.text_size(docs)
     n_blocks, buckets = blocks.counts(total)
@@ -129,7 +133,7 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
         held = _Counts(WORD), _Counts(GRAM)
         for batch in batches:
             for part in slices(batch, "text", PART):
-                train = part.column("trained").to_numpy(zero_copy_only=False).astype(np.int64)
+                train = part.column("trained").to_numpy(zero_copy_only=False).astype(bool)
                 names, first, grams, bounds = _read(part.column("text"), depth)
                 held[0].add(names, np.repeat(train, np.diff(first)))
                 held[1].add(grams, np.repeat(train, np.diff(bounds)))
@@ -165,8 +169,8 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
 
     rows = model.select("kind", "names", "counts").mapInArrow(close, "node long, zeros long, ones long, deeper double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("deeper").alias("deeper")).collect()
     n_train = docs.where(flag).count()
-    distinct, words = next(((r["zeros"], r["ones"]) for r in rows if r["node"] == -1), (0, 0))
-    n_tokens, n_distinct = words + n_train, distinct + (n_train > 0)
+    different, words = next(((r["zeros"], r["ones"]) for r in rows if r["node"] == -1), (0, 0))
+    n_tokens, n_distinct = words + n_train, different + (n_train > 0)
     spread = float(n_tokens + 0.5 * (n_distinct + 1))
     top = _top([r for r in rows if r["node"] >= 0])
 
@@ -181,9 +185,9 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
         found: tuple[list, list] = [], []
         for part in parts(table):
             names, _, grams, _ = _read(part.column("text"), depth)
-            found[0].append(np.unique(names))
-            found[1].append(np.unique(grams))
-        return tuple(np.unique(np.concatenate([*x, np.zeros(0, U)])) for x in found)
+            found[0].append(distinct(names))
+            found[1].append(distinct(grams))
+        return tuple(distinct(np.concatenate([*x, np.zeros(0, U)])) for x in found)
 
     def ask(table: pa.Table) -> pa.Table:
         out = []
@@ -215,14 +219,14 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
             if len(out):
                 out[_spans(kind, known[kind], buckets, depth)[0]] = np.concatenate(told[kind])
             values.append(out)
-        done = []
+        places, done = [Places(x) for x in known], []
         for part in parts(left):
             names, first, grams, bounds = _read(part.column("text"), depth)
             n, row = part.num_rows, np.repeat(np.arange(part.num_rows), np.diff(first))
-            count = values[WORD][np.searchsorted(known[WORD], names)]
+            count = values[WORD][places[WORD](names)]
             base = np.bincount(row, np.log10((count + 0.5) / spread), n) + np.log10((n_train + 0.5) / spread)
             size = np.diff(bounds)
-            tree = np.bincount(np.repeat(np.arange(n), size), values[GRAM][np.searchsorted(known[GRAM], grams)], n)
+            tree = np.bincount(np.repeat(np.arange(n), size), values[GRAM][places[GRAM](grams)], n)
             held_out = ~part.column("trained").to_numpy(zero_copy_only=False).astype(bool)
             columns = (held_out, np.diff(first) + 1, np.bincount(row, count > 0, n).astype(np.int64) + int(n_train > 0), np.full(n, n_tokens), base, tree, -tree / np.log10(2) / size)
             done.append(pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]))
