@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from xylem.functions.codecs import escape_attribute, escape_text
 from xylem.operators.scanner import CDATA, END_DOCUMENT, START_DOCUMENT, TEXT, Event, XmlError, scan
 from xylem.options import XmlOptions
 
@@ -190,6 +191,18 @@ def descendants(elements: DataFrame, key: str = "doc_id") -> DataFrame:
     return a.join(d, (F.col(key) == F.col("k")) & (F.col("descendant") > F.col("ancestor")) & (F.col("descendant") < F.col("to"))).select(key, "ancestor", "ancestor_name", "descendant", "descendant_name")
 
 
+def events_to_documents(events: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, content): documents rebuilt from a relation of their events (seq, event, name, text, attrs), whatever made it, so
+    that events of other sources can be bound. Empty elements get end tags; declarations are not kept."""
+    attrs = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), escape_attribute(a["value"]), F.lit('"'))), "")
+    name, text = F.col("name"), F.col("text")
+    kind = F.col("event")
+    piece = F.when(kind == "START_ELEMENT", F.concat(F.lit("<"), name, F.coalesce(attrs, F.lit("")), F.lit(">"))).when(kind == "END_ELEMENT", F.concat(F.lit("</"), name, F.lit(">"))).when(kind == TEXT, escape_text(text))
+    piece = piece.when(kind == CDATA, F.concat(F.lit("<![CDATA["), text, F.lit("]]>"))).when(kind == "COMMENT", F.concat(F.lit("<!--"), text, F.lit("-->"))).when(kind == "PROCESSING_INSTRUCTION", F.concat(F.lit("<?"), name, F.lit(" "), text, F.lit("?>")))
+    made = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", piece.alias("piece")))).alias("pieces"))
+    return made.select(key, F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("content"))
+
+
 def root_qname(docs: DataFrame, key: str = "doc_id", content: str = "content", options: XmlOptions | None = None) -> DataFrame:
     """(prefix, local, ns) of each root, read up to its start tag only; what follows is not looked at."""
     options = options or XmlOptions()

@@ -104,6 +104,12 @@ def healthcare_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.healthcare(docs).drop("ok", "error")
 
 
+@query("SELECT event_id AS doc_id, 'urn:' || event_type AS action, CAST(NULL AS VARCHAR) AS message_id FROM events")
+def healthcare_flyweight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = built(spark, sf_dir, "events", "event_id", _soap("'<x/>'", "concat('<s:Header><wsa:Action>  urn:', event_type, ' </wsa:Action><wsa:MessageID/></s:Header>')"))
+    return records.healthcare(docs, trimmed=True).select("doc_id", "action", "message_id")
+
+
 @query("SELECT CASE event_id % 5 WHEN 0 THEN 'HL7_V3' WHEN 1 THEN 'CDA' WHEN 2 THEN 'FHIR_XML' WHEN 3 THEN 'FHIR_XML' ELSE 'SOAP' END AS protocol, count(*) AS n FROM events GROUP BY 1")
 def healthcare_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = "element_at(array('<PRPA_IN201305UV02 xmlns=\"urn:hl7-org:v3\"/>', '<c:ClinicalDocument xmlns:c=\"urn:hl7-org:v3\"/>', '<Patient xmlns=\"http://hl7.org/fhir\"/>', '<fhir:Bundle xmlns:fhir=\"urn:f\"/>', '<Bundle/>'), cast(event_id % 5 AS int) + 1)"
@@ -301,6 +307,12 @@ def namespace_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(elements.where("local = 'u'").select("doc_id", F.col("ns").alias("unbound_ns")), "doc_id")
 
 
+@query("SELECT c_custkey AS doc_id, '<r k=\"&lt;' || c_nationkey || '\">a &amp; ' || c_name || '<x></x><!--c--><?p d?><![CDATA[<]]></r>' AS content FROM customer")
+def events_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = built(spark, sf_dir, "customer", "c_custkey", "concat('<?xml version=\"1.0\"?><r k=\"&lt;', c_nationkey, '\">a &#38; ', c_name, '<x/><!--c--><?p d?><![CDATA[<]]></r>')")
+    return ev.events_to_documents(ev.xml_events(docs))
+
+
 # ---- binding
 
 _CUSTOMER = XmlSchema("customer", T.StructType([attr("key", _L), elem("name"), elem("balance", T.DecimalType(18, 2)), elem("nation", _I)]))
