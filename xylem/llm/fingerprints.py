@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 HEAD, SMALL, LARGE, SECTION = 256, 16, 128, 16
 #: Text in one bucket of neighbours, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 16
+BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 1 << 16
 
 
 def _leaves(text: Column, size: int) -> Column:
