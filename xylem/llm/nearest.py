@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from xylem.llm.shared import checkpointed
 #: may look at (with repeats over trees), and how many it looks at in any case.
 TREES, SAMPLE, LEVELS, SHARE, LEAST = 6, 16_384, 12, 0.55, 2_000
 #: Vectors in a shard and queries in a block.
-SHARD, QUERIES = 10_000, 20_000
+SHARD, QUERIES = 40_000, 20_000
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -173,11 +174,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
         if not found:
             return empty
         ask, some, near = (np.concatenate(f) for f in zip(*found, strict=True))
+        # a vector that comes from several trees' cells counts once
+        vector = pc.list_element(index.column("ids"), 0).to_numpy()[some]
+        order = np.lexsort((vector, ask))
+        first = np.r_[True, (ask[order][1:] != ask[order][:-1]) | (vector[order][1:] != vector[order][:-1])]
+        ask, some, near = (x[order[first]] for x in (ask, some, near))
         order = np.lexsort((some, -near, ask))
         ask, some = ask[order], some[order]
-        # a few more than k + 1: a vector may come from several trees' cells of this shard
-        rank = np.arange(len(ask)) - np.searchsorted(ask, ask)
-        at = rank < keep * trees
+        at = np.arange(len(ask)) - np.searchsorted(ask, ask) < keep
         ask, some = ask[at], some[at]
         scores = [cosine(original_q[i], original_x[j]) for i, j in zip(ask.tolist(), some.tolist(), strict=True)]
         return pa.table({"query_id": asks.column("query_id").take(pa.array(ask)), "ids": index.column("ids").take(pa.array(some)), "score": pa.array(scores, pa.float64())})
