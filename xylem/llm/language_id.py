@@ -26,6 +26,8 @@ from xylem.llm.words import U, distinct_counts, mixed, slices, text_bytes, windo
 
 #: Bytes in an n-gram; slots in the table; slots of an n-gram; n-grams that a task holds before it passes them on.
 SIZE, SLOTS, HASHES, HELD = 5, 1 << 20, 3, 2_000_000
+#: Bytes of text whose n-grams are in memory at a time.
+PART = 1 << 20
 #: An n-gram is typical of a language that uses it at least 1 / SPREAD as often, by share, as the language that uses it
 #: most, and so often (by share) at least.
 SPREAD, LEAST = 4.0, 2e-6
@@ -123,7 +125,7 @@ def learn(docs: DataFrame, salts: int = 64) -> LanguageFilter:
                 yield pa.RecordBatch.from_arrays([pa.array([int(salt[a]) for a, _ in spans], pa.int32()), pa.array([i] * len(spans), pa.int32()), pa.array([names[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())], names=["bucket", "lang", "names", "counts"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
                 names, owner = grams(part.column("text"))
                 for i in np.unique(lang):
@@ -183,7 +185,7 @@ def language_id(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 lang, score = shared.value.decide(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 

@@ -148,7 +148,7 @@ def window_names(names: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mixed(out)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
     data = batch.column(column)
     if data.type in (pa.string(), pa.binary()):
