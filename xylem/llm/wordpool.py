@@ -15,7 +15,7 @@ import numpy as np
 from xylem.llm.blocks import member
 from xylem.llm.words import U, word_bounds, word_names
 
-MOST = 2_000_000
+MOST = 1_000_000
 
 
 class WordPool:
