@@ -114,9 +114,10 @@ def _payload_protocol(name: str, ns: str | None) -> str:
     return "SOAP"
 
 
-def healthcare_record(events: Iterator[Event], region: str = "header", trimmed: bool = False) -> tuple:
+def healthcare_record(events: Iterator[Event], region: str = "header", trimmed: bool = False, direct: bool = False) -> tuple:
     """Version, protocol of the payload, and the last WS-Addressing Action and MessageID of the header (or anywhere). The
-    payload's namespace is looked up on itself, then on the envelope."""
+    payload's namespace is looked up on itself, then on the envelope. direct: the prefixes of Header and Body are not
+    checked, namespaces are those of the envelope only, and a field is its last chunk of text as it stands."""
     version, prefix, parts, outer, payload, protocol = "", "", [], {}, None, "SOAP"
     found: dict[str, str | None] = {"Action": None, "MessageID": None}
     field, depth, chunks = None, 0, []
@@ -124,15 +125,20 @@ def healthcare_record(events: Iterator[Event], region: str = "header", trimmed:
         if e.event == START_ELEMENT:
             if e.depth == 1:
                 version, prefix, outer = _envelope(e), e.prefix, dict(e.attrs or ())
+            elif e.depth == 2 and direct:
+                parts.append(e.local)
             elif e.depth == 2:
                 _part(e, prefix, parts)
             elif e.depth == 3 and parts[-1] == "Body" and payload is None:
                 payload, key = e.name, "xmlns" + (f":{e.prefix}" if e.prefix else "")
-                protocol = _payload_protocol(e.name, dict(e.attrs or ()).get(key, outer.get(key)))
+                own = {} if direct else dict(e.attrs or ())
+                protocol = _payload_protocol(e.name, own.get(key, outer.get(key)))
             if e.depth > 2 and e.local in found and field is None and (region == "anywhere" or parts[-1] == "Header"):
                 field, depth, chunks = e.local, e.depth, []
         elif e.event in (TEXT, CDATA):
-            if field:
+            if field and direct:
+                chunks = [e.raw]
+            elif field:
                 chunks.append(e.text)
         elif e.event == END_ELEMENT and field and e.depth == depth:
             if chunks:
@@ -167,9 +173,9 @@ def soap_messages(docs: DataFrame, options: XmlOptions | None = None, key: str =
     return _records(docs, soap_record, SOAP, options, key, content)
 
 
-def healthcare(docs: DataFrame, options: XmlOptions | None = None, key: str = "doc_id", content: str = "content", trimmed: bool = False) -> DataFrame:
+def healthcare(docs: DataFrame, options: XmlOptions | None = None, key: str = "doc_id", content: str = "content", trimmed: bool = False, direct: bool = False) -> DataFrame:
     region = (options or XmlOptions()).region
-    return _records(docs, lambda events: healthcare_record(events, region, trimmed), HEALTHCARE, options, key, content)
+    return _records(docs, lambda events: healthcare_record(events, region, trimmed, direct), HEALTHCARE, options, key, content)
 
 
 #: What each profile projects; others can be added.

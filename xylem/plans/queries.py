@@ -148,6 +148,13 @@ def profile_autodetect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.inspect(docs).select("doc_id", "profile", "ok")
 
 
+@query("SELECT event_id AS doc_id, 'SOAP' AS protocol, 'b &amp; ' || event_type AS action FROM events")
+def healthcare_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = "concat('<t:Header><wsa:Action>a<!-- -->b &amp; ', event_type, '</wsa:Action></t:Header>')"
+    docs = built(spark, sf_dir, "events", "event_id", _soap("'<PRPA xmlns=\"urn:hl7-org:v3\"/>'", header))
+    return records.healthcare(docs, direct=True).select("doc_id", "protocol", "action")
+
+
 # ---- bytes
 
 _BYTES = "concat(encode(concat('<a>', event_id, '<b/>'), 'UTF-8'), element_at(array(unhex('C3A9'), unhex('C328'), unhex('EDA080'), unhex('F09F9880'), unhex('F4908080'), unhex('C080')), cast(event_id % 6 AS int) + 1), encode('</a>', 'UTF-8'))"
