@@ -119,7 +119,7 @@ class Viterbi:
     def fit(self, left: str, piece: str) -> bool:
         key = left, piece
         if (found := self.fits.get(key)) is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             found = self.fits[key] = self.merged(left + piece) == ([left, piece] if left else [piece])
         return found
