@@ -344,3 +344,35 @@ def test_empty_tables(odd):
     path = tokenizer_file("word_bpe_49k.json")
     for made in (substring_dedup(none), pack(none, path), jaccard_join(none), lm_scoring(none), document_fingerprints(none), license_scan(none)):
         assert made.count() == 0
+
+
+# ---- licences in any words
+
+
+def test_license_scan_needs_no_cue_word(spark):
+    model = train(documents(spark))
+    texts = {"Released under the GPL.": "GPL", "Distributed under GPLv3": "GPL", "CC BY 4.0": "CC-BY", "Released under Apache 2.0": "Apache-2.0", "MIT licence": "MIT", "dedicated to the public domain": "CC0", "All rights reserved.": "unknown", "Mit.": None, "his driving was permitted": None}
+    df = spark.createDataFrame([(i, f"prose here\n{x}") for i, x in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: (r.paragraph, r.family) for r in license_scan(df, model).collect()}
+    assert found == {i: (1, family) for i, family in enumerate(texts.values()) if family}
+
+
+def test_license_scan_finds_all_planted_lines(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = "This work is licensed under the GNU General Public License, version 3.|Licensed under CC BY-NC 4.0.|Released under the MIT License.|Licensed under the Apache License, Version 2.0.|All rights reserved."
+    lines = [(r.doc_id, i) for r in docs.where("text is not null").collect() for i, x in enumerate(r.text.split("\n")) if x in planted.split("|")]
+    assert sorted((r.doc_id, r.paragraph) for r in license_scan(docs).collect()) == sorted(lines) and lines
+
+
+def test_license_scan_gate_is_lossless(spark):
+    import numpy as np
+
+    from xylem.llm import license_scan as scan
+
+    model = train(documents(spark))
+    number = {g: i for i, g in enumerate(model.vocabulary)}
+    weak, gate = model.weak(), re.compile(model.telling().replace(r"[\p{L}\p{N}]", r"[^\W_]"))
+    pairs = [g for g in number if " " in g and weak.issuperset(g.split(" "))]
+    gain = model.weights[:, :-1] - model.weights[:, -1:]
+    assert (np.maximum(gain[[number[g] for g in [*weak, *pairs]]], 0).sum(0) < model.bias[-1] - model.bias[:-1]).all()
+    assert all(gate.search(" ".join(scan.words(x))) for group in [*scan.NOTICES.values(), *scan.statements().values()] for x in group)

@@ -3,15 +3,16 @@
 Notices of each licence family, of other licences (the unknown class) and
 paragraphs of the corpus without any licence word train a multinomial logistic
 regression over the notices' words and word pairs, on the driver. A temperature
-fitted by cross-validation calibrates its probabilities. A paragraph that holds
-one of the cue words (a smallest set of words that covers all notices) is scored
-by summing its n-grams' weights; a family is given if its calibrated probability
-is high enough, else ``unknown``. A notice of the family whose word pairs the
-paragraph contains confirms the prediction.
+fitted by cross-validation calibrates its probabilities. Short statements, made
+of each family's names in usual frames, train it too. Every paragraph is scored
+by summing its n-grams' weights, but for those of words whose weights, all taken
+together, cannot outweigh nothing; a family is given if its calibrated probability is high enough, else ``unknown``. A notice of the
+family whose word pairs the paragraph contains confirms the prediction.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from dataclasses import dataclass
@@ -91,9 +92,38 @@ NOTICES: dict[str, list[str]] = {
         "Released under a custom license",
         "Licensed under the terms stated in the accompanying file",
         "See the license for terms of use",
+        "All rights reserved.",
+        "Copyright (c) the authors. All rights reserved.",
+        "Confidential and proprietary; unauthorized copying is prohibited",
+        "No license is granted; all rights are reserved by the owner",
     ],
 }
+#: Names of the families in short statements, and the frames of these. They train, but confirm nothing.
+NAMES: dict[str, list[str]] = {
+    "MIT": ["MIT", "MIT/X11", "Expat"],
+    "Apache-2.0": ["Apache 2.0", "Apache-2.0", "Apache 2", "Apache", "ASL 2.0", "Apache License 2.0"],
+    "GPL": ["GPL", "GNU GPL", "GPLv2", "GPLv3", "GPL v2", "GPL v3", "GPL-2.0", "GPL-3.0", "GPLv3+", "GNU General Public License"],
+    "LGPL": ["LGPL", "GNU LGPL", "LGPLv2.1", "LGPLv3", "LGPL v3", "LGPL-2.1", "LGPL-3.0", "GNU Lesser General Public License"],
+    "BSD": ["BSD", "BSD-3-Clause", "BSD-2-Clause", "3-Clause BSD", "2-Clause BSD", "BSD 2-Clause", "simplified BSD", "new BSD"],
+    "MPL-2.0": ["MPL", "MPL 2.0", "MPL-2.0", "MPLv2", "Mozilla Public License"],
+    "CC-BY": ["CC BY", "CC BY 4.0", "CC BY 3.0", "CC-BY", "CC-BY-4.0", "CC-BY 4.0", "Creative Commons Attribution"],
+    "CC-BY-SA": ["CC BY-SA", "CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA", "CC-BY-SA-4.0", "CC-BY-SA 4.0", "Creative Commons Attribution-ShareAlike"],
+    "CC-BY-NC": ["CC BY-NC", "CC BY-NC 4.0", "CC BY-NC 3.0", "CC-BY-NC", "CC-BY-NC-4.0", "CC-BY-NC 4.0", "Creative Commons Attribution-NonCommercial"],
+    "CC0": ["CC0", "CC0 1.0", "CC0-1.0", "public domain", "Unlicense"],
+    "unknown": ["Zlib", "EPL", "EUPL", "AGPL", "AGPLv3", "Artistic", "proprietary", "vendor", "custom", "ISC", "WTFPL", "open source"],
+}
+FRAMES = ["Released under {}", "Released under the {}", "Distributed under {}", "Licensed under the {}", "Licensed under {}", "{} license", "{} licensed", "License: {}", "available under the {} license"]
+#: Frames that only some families have.
+MORE = {"CC0": ["dedicated to the public domain", "This work is in the public domain", "placed in the public domain", "released into the public domain"], **{x: ["{}"] for x in ("Apache-2.0", "GPL", "LGPL", "BSD", "MPL-2.0", "CC-BY", "CC-BY-SA", "CC-BY-NC")}}
+#: Statements of nothing that hold some of the same words.
+ORDINARY = [
+    "Mit.", "mit und", "mit der", "his driving was permitted", "a driving license is needed", "the license plate of the car", "she was released in May", "The film was released under a new title",
+    "papers were distributed under the door", "an open source of water", "The general public was free to enter", "a work of art", "See the next page for details", "terms and conditions of the house",
+    "all guests have reserved a room", "the rights of all people", "a domain of the public", "the Apache people", "a commercial success", "Creative people have much in common", "under the", "of the", "in the", "is", "by",
+]
 NOTHING = "none"
+#: Words that a licence statement may hold: documents with one do not serve as examples of nothing.
+HINTS = r"(?i)licen[cs]|gpl|\bapache\b|\bMIT\b|\bbsd\b|\bmpl|\bcc[- ]?(?:by|0)|creative commons|copyright|©|rights? reserved|public domain|warrant|proprietary|free software|redistribut|permission is"
 #: Documents without a licence word that give examples of nothing, at most, and paragraphs of them, at most.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 200, 300
 #: A family needs this calibrated probability, and confirmation this share of a notice's word pairs.
@@ -102,22 +132,16 @@ WORD = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
 
 
 def words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:[.+-][^\W_]+)*", text.lower())
+    return re.findall(r"[^\W_]+(?:[.+-][^\W_]+)*", text.lower().replace("licenc", "licens"))
 
 
 def pairs(found: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(found, found[1:], strict=False)]
 
 
-def cues() -> list[str]:
-    """Few words that every notice has one of, most general first."""
-    left, out = [set(words(x)) for group in NOTICES.values() for x in group], []
-    common = {"the", "a", "an", "is", "of", "in", "and", "or", "to", "under", "this", "work", "for", "with", "by", "are", "that", "any", "can", "be"}
-    while left:
-        best = min(set().union(*left) - common, key=lambda w: (-sum(w in x for x in left), w))
-        out.append(best)
-        left = [x for x in left if best not in x]
-    return out
+def statements() -> dict[str, list[str]]:
+    """Short statements of each family."""
+    return {c: [f.format(x) for x in names for f in FRAMES + [m for m in MORE.get(c, []) if "{}" in m]] + [m for m in MORE.get(c, []) if "{}" not in m] for c, names in NAMES.items()}
 
 
 @dataclass
@@ -127,13 +151,17 @@ class Classifier:
     weights: np.ndarray  # n-gram, class
     bias: np.ndarray
     temperature: float
+    common: list[str]  # words of the vocabulary that texts of nothing hold, most common first
 
     @classmethod
     def fit(cls, nothing: list[str], folds: int = 3) -> Classifier:
         classes = [*NOTICES, NOTHING]
-        texts = [(x, i) for i, group in enumerate(NOTICES.values()) for x in group] + [(x, len(NOTICES)) for x in [*nothing, ""]]
+        short = statements()
+        texts = [(x, i) for i, (name, group) in enumerate(NOTICES.items()) for x in [*group, *short[name]]]
+        known = len(texts)
+        texts += [(x, len(NOTICES)) for x in [*nothing, *ORDINARY, ""]]
         found = [set(w) | set(pairs(w)) for w in (words(x) for x, _ in texts)]
-        vocabulary = sorted(set().union(*found[: len(texts) - len(nothing) - 1]))
+        vocabulary = sorted(set().union(*found[:known]))
         number = {g: i for i, g in enumerate(vocabulary)}
         x = np.zeros((len(texts), len(vocabulary)))
         for i, grams in enumerate(found):
@@ -146,7 +174,9 @@ class Classifier:
             part = cls._train(x[fold != f], y[fold != f], len(classes))
             logits[fold == f] = x[fold == f] @ part[0] + part[1]
         loss = [(-_log_softmax(logits / t)[np.arange(len(y)), y].mean(), t) for t in (0.5, 0.7, 1.0, 1.4, 2.0)]
-        return cls(classes, vocabulary, w, b, min(loss)[1])
+        held = {g: sum(g in x for x in found[known:]) for g in vocabulary if " " not in g}
+        common = sorted((g for g, n in held.items() if n), key=lambda g: (-held[g], g))
+        return cls(classes, vocabulary, w, b, min(loss)[1], common)
 
     @staticmethod
     def _train(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 150, rate: float = 2.0, decay: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -162,52 +192,91 @@ class Classifier:
             w, b = w + vw, b + vb
         return w, b
 
+    def weak(self) -> set[str]:
+        """Common words of which no text can be made that is more likely a licence than nothing, from the weights: even all
+        that speaks for a class among these words and their pairs, together, does not make up for its bias."""
+        gain = self.weights[:, :-1] - self.weights[:, -1:]
+        left = self.bias[-1] - self.bias[:-1] - 1e-3  # weights are rounded
+        out: set[str] = set()
+        for word in self.common:
+            new = [i for i, g in enumerate(self.vocabulary) if word in (x := g.split(" ")) and out.issuperset(set(x) - {word})]
+            after = left - np.maximum(gain[new], 0).sum(0)
+            if (after > 0).all():
+                out.add(word)
+                left = after
+        return out
+
+    def telling(self) -> str:
+        """A pattern that every text matches in which a licence can be more likely than nothing."""
+        if (self.bias[:-1] >= self.bias[-1]).any():
+            return ""
+        strong = sorted({w for g in self.vocabulary for w in g.split(" ")} - self.weak())
+        return r"(?<![\p{L}\p{N}])(?:" + _branches(strong) + r")(?![\p{L}\p{N}])"
+
     def table(self) -> str:
         return json.dumps({g: [round(float(v), 6) for v in row] for g, row in zip(self.vocabulary, self.weights, strict=True)})
 
 
+def _branches(sorted_words: list[str]) -> str:
+    """A pattern of the words, with common beginnings written once."""
+    out = []
+    for first, group in itertools.groupby((w for w in sorted_words if w), lambda w: w[0]):
+        rest = [w[1:] for w in group]
+        more = _branches(rest)
+        out.append(re.escape(first) + (f"(?:{more})" + "?" * ("" in rest) if more else ""))
+    return "|".join(out)
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(1, keepdims=True)
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _plain(text: Column) -> Column:
+    """Lower case and one spelling, as in words()."""
+    return F.replace(F.lower(text), F.lit("licenc"), F.lit("licens"))
+
+
 def _ngrams(text: Column) -> tuple[Column, Column]:
-    """A paragraph's distinct words and word pairs, and its pairs."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """A plain paragraph's distinct words and word pairs, and its pairs."""
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     two = F.zip_with(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(F.concat(found, two)), two
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are evaluated once for each row: filters do not move below a generator, nor copy its input."""
+    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("made")
+    return df.select(*(c for c in df.columns if c not in columns), made).select(*(c for c in df.columns if c not in columns), "made.*")
+
+
 def train(docs: DataFrame) -> Classifier:
-    """A classifier from the notices and a bounded sample of documents without cue words."""
-    plain = docs.where(F.col("text").isNotNull() & ~F.col("text").rlike(_cue_pattern()))
+    """A classifier from the notices and a bounded sample of documents without a word of licences."""
+    plain = docs.where(F.col("text").isNotNull() & ~F.col("text").rlike(HINTS))
     rows = plain.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS).select("text").collect()
     nothing = [p for r in rows for p in r["text"].split("\n") if p.strip()]
     return Classifier.fit(sorted(nothing, key=lambda p: (len(p), p))[:: -(-len(nothing) // SAMPLE_PARAGRAPHS) or 1])
 
 
-def _cue_pattern() -> str:
-    return r"(?i)\b(?:" + "|".join(re.escape(c) for c in cues()) + r")\b"
-
-
 def license_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """Paragraphs (lines) of docs (doc_id, text) that state a licence.
 
     Returns doc_id, paragraph (from 0), family (or ``unknown``), probability (calibrated), similarity (the largest share of
-    a notice's word pairs that the paragraph holds) and confirmed. Paragraphs without a cue word, and those where nothing
-    is most likely, give no row; so do null and empty texts. Repeated rows are scanned each; other columns are ignored; an
+    a notice's word pairs that the paragraph holds) and confirmed. Every paragraph is judged; those where nothing is most
+    likely give no row; so do null and empty texts. Repeated rows are scanned each; other columns are ignored; an
     empty table gives an empty result."""
     model = model or train(docs)
     k = len(model.classes)
     weights = F.from_json(F.lit(model.table()), "map<string,array<double>>")
     zeros = F.array(*[F.lit(0.0)] * k)
-    found = docs.where(F.col("text").rlike(_cue_pattern())).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(_cue_pattern()))
+    telling = model.telling()
+    found = docs.select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("paragraph", "line")).where(F.col("line").rlike(telling))
     grams, two = _ngrams(F.col("line"))
-    found = found.select("doc_id", "paragraph", grams.alias("grams"), two.alias("pairs"))
+    found = _once(found, grams=grams, pairs=two)
     # only n-grams that the classifier knows reach the sum
-    found = found.withColumn("grams", F.array_intersect("grams", F.array(*map(F.lit, model.vocabulary))))
+    found = _once(found, grams=F.array_intersect("grams", F.array(*map(F.lit, model.vocabulary))))
     logits = F.aggregate("grams", F.array(*map(F.lit, model.bias.tolist())), lambda total, g: F.zip_with(total, F.coalesce(F.element_at(weights, g), zeros), lambda a, b: a + b))
-    scored = found.withColumn("logits", F.transform(logits, lambda x: x / F.lit(model.temperature)))
+    scored = _once(found, logits=F.transform(logits, lambda x: x / F.lit(model.temperature)))
     scored = scored.withColumn("most", F.array_max("logits"))
     total = F.aggregate("logits", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("most")))
     scored = scored.withColumn("best", F.array_position("logits", F.col("most")).cast("int")).withColumn("probability", F.lit(1.0) / total)
