@@ -376,3 +376,24 @@ def test_license_scan_gate_is_lossless(spark):
     gain = model.weights[:, :-1] - model.weights[:, -1:]
     assert (np.maximum(gain[[number[g] for g in [*weak, *pairs]]], 0).sum(0) < model.bias[-1] - model.bias[:-1]).all()
     assert all(gate.search(" ".join(scan.words(x))) for group in [*scan.NOTICES.values(), *scan.statements().values()] for x in group)
+
+
+def test_license_scan_joins_wrapped_notices(spark):
+    import textwrap
+
+    model = train(documents(spark))
+    notices = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    }
+    texts, want = [], []
+    for family, notice in notices.items():
+        for width in (50, 72):
+            for mark, top, end in (("", "", ""), ("# ", "#", "#"), (" * ", "/*", " */"), ("// ", "//", "//")):
+                want.append(family)
+                texts.append("\n".join(["Some prose about the code stands here", "Copyright 2020 Jane Doe", top, *(mark + x for x in textwrap.wrap(notice, width)), end, "", "int main;"]))
+    df = spark.createDataFrame(list(enumerate([*texts, *(x.replace("\n", "\r\n") for x in texts)])), "doc_id long, text string")
+    rows = license_scan(df, model).where("confirmed").collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in rows) == [(i, 3, f) for i, f in enumerate(want * 2)]

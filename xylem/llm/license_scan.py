@@ -15,6 +15,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,6 +127,10 @@ NOTHING = "none"
 HINTS = r"(?i)licen[cs]|gpl|\bapache\b|\bMIT\b|\bbsd\b|\bmpl|\bcc[- ]?(?:by|0)|creative commons|copyright|©|rights? reserved|public domain|warrant|proprietary|free software|redistribut|permission is"
 #: Documents without a licence word that give examples of nothing, at most, and paragraphs of them, at most.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 200, 300
+#: Comment signs before and after a line's text; longest line that a hard wrap makes; shortest, and before a capital.
+BEFORE, AFTER, WIDEST, SHORTEST, FILLED = r"^\s*(?:(?://+[!/]?|/?\*+(?!/)|#+|--+|;+|%+|>+|<!--|dnl\b|rem\b|\"{3}|'{3})\s*)*", r"\s*(?:\*+/|-->|\"{3}|'{3})?\s*$", 160, 20, 40
+#: A line that ends a statement before a capital, and the beginnings of statements.
+STOPS, OPENS = r"[.!?:|]$", r"^(?:Copyright|©|\([cC]\)|SPDX|Licen[cs]ed|Released|Distributed|Permission is|Redistribution|All rights|This (?:work|project|program|library|software|file))\b"
 #: A family needs this calibrated probability, and confirmation this share of a notice's word pairs.
 SURE, CONFIRMED = 0.5, 0.75
 WORD = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
@@ -244,6 +249,29 @@ def _ngrams(text: Column) -> tuple[Column, Column]:
     return F.array_distinct(F.concat(found, two)), two
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value evaluated once, also where of() has it in a loop."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _paragraphs(text: Column) -> Column:
+    """(paragraph, line): the text's paragraphs and the numbers of their first lines. Lines without their comment signs
+    that a hard wrap has parted are one paragraph: none is blank, the first is of a length that a wrap makes, and the second
+    goes on in lower case or, unless it opens a statement or the first ends one or is short, with a capital."""
+    lines = F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: F.regexp_replace(F.regexp_replace(x, BEFORE, ""), AFTER, ""))
+
+    def opens(last: Column, line: Column) -> Column:
+        parted = line.rlike(r"^[^\p{L}]*\p{Lu}") & (last.rlike(STOPS) | line.rlike(OPENS) | (F.length(last) < FILLED))
+        return (line == "") | ~F.length(last).between(SHORTEST, WIDEST) | parted
+
+    def made(x: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), F.slice(x, 1, F.size(x) - 1))
+        first = F.filter(F.transform(F.zip_with(before, x, opens), lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
+        return _let(first, lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(x))), lambda a, b: F.struct(a.alias("paragraph"), F.array_join(F.slice(x, a + 1, b - a), " ").alias("line"))))
+
+    return _let(lines, made)
+
+
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are evaluated once for each row: filters do not move below a generator, nor copy its input."""
     made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("made")
@@ -259,9 +287,9 @@ def train(docs: DataFrame) -> Classifier:
 
 
 def license_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """Paragraphs (lines) of docs (doc_id, text) that state a licence.
+    """Paragraphs of docs (doc_id, text) that state a licence: lines, with those that a hard wrap has parted joined.
 
-    Returns doc_id, paragraph (from 0), family (or ``unknown``), probability (calibrated), similarity (the largest share of
+    Returns doc_id, paragraph (the number of its first line, from 0), family (or ``unknown``), probability (calibrated), similarity (the largest share of
     a notice's word pairs that the paragraph holds) and confirmed. Every paragraph is judged; those where nothing is most
     likely give no row; so do null and empty texts. Repeated rows are scanned each; other columns are ignored; an
     empty table gives an empty result."""
@@ -270,7 +298,7 @@ def license_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     weights = F.from_json(F.lit(model.table()), "map<string,array<double>>")
     zeros = F.array(*[F.lit(0.0)] * k)
     telling = model.telling()
-    found = docs.select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("paragraph", "line")).where(F.col("line").rlike(telling))
+    found = docs.where(_plain(F.col("text")).rlike(telling)).select("doc_id", F.inline(_paragraphs(F.col("text")))).withColumn("line", _plain(F.col("line"))).where(F.col("line").rlike(telling))
     grams, two = _ngrams(F.col("line"))
     found = _once(found, grams=grams, pairs=two)
     # only n-grams that the classifier knows reach the sum
