@@ -40,3 +40,16 @@ def test_stages_on_odd_rows(spark, odd):
         docs = corpus_pipeline.checkpointed(stage(spark, docs, SF))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_one_row_of_each_group_keeps_its_text(spark):
+    say = lambda x: " ".join(f"{x}{i}" for i in range(80))
+    texts = [(1, say("a")), (1, say("a")), (None, say("b")), (None, say("b")), (None, say("c")), (5, say("c")), (6, say("d")), (6, say("a")), (7, say("e")), (7, say("f")), (8, None), (8, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(1, say("a")), (5, say("c")), (6, say("d")), (7, say("e")), (7, say("f")), (None, say("b"))]
+    once = corpus_pipeline.checkpointed(corpus_pipeline.near_duplicates(spark, docs, SF))
+    assert once.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in once.where("text is not null").collect()), key=repr) == sorted(want, key=repr)
+    assert once.where("text is null").count() == 2
+    cut = corpus_pipeline.repeated_passages(spark, once, SF).where("text <> ''").collect()
+    assert sorted(((r.doc_id, r.text) for r in cut), key=repr) == sorted(want, key=repr)
