@@ -1,15 +1,17 @@
-"""Words and their 64-bit names, computed over whole Arrow batches at once.
+"""Words and their names, computed over whole Arrow batches at once.
 
 A word is a maximal run of bytes other than space and U+0009..U+000D, which
 equals ``[^\\x20\\x09-\\x0D]+`` on the text since those separators are single
-bytes in UTF-8. A word's name is a polynomial of its bytes over random 64-bit
-letters, evaluated modulo 2**64 and mixed; windows of words are named the same
-way over the words' names. Names depend on content only, so every task of every
-job gives equal words the same name without any exchange.
+bytes in UTF-8. A word's name mixes its bytes eight at a time, step by step (no
+polynomial, whose names of long regular words can meet); longer words are
+hashed by BLAKE2. Two lanes name independently: where equal names alone decide,
+both are compared, 128 bits in all. Names depend on content only, so every task
+of every job gives equal words the same name without any exchange.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,25 +19,15 @@ import pyarrow as pa
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_LETTERS = np.random.Generator(np.random.PCG64(20_240_117)).integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
+_STEP = U(0xC2B2AE3D27D4EB4F)
+_LANES = [U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
+_LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
+#: Longest word, in bytes, that is named eight bytes at a time.
+LONG = 256
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes hashed at a time: a very long text costs time, not memory.
-BLOCK = 1 << 22
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 12), base, U)
-        out[0] = 1
-        _powers[base] = have = np.multiply.accumulate(out)
-    return have[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -109,42 +101,33 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each word."""
-    out = np.empty(len(starts), U)
-    at = 0
-    while at < len(starts):
-        low = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
-        high = int(ends[to - 1])
-        total = np.empty(high - low + 1, U)
-        total[0] = 0
-        np.cumsum(_LETTERS[data[low:high]] * powers(_BASE, high - low), out=total[1:])
-        a, b = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (total[b] - total[a]) * powers(_INVERSE, high - low + 1)[a]
-        at = to
-    return mixed(out + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit name for each word; names of the two lanes are independent."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mixed(size.astype(U) * _LANES[lane])
+    todo, at = np.arange(len(starts)), 0
+    while len(todo):
+        left = size[todo] - at
+        out[todo] = mixed(out[todo] * _STEP ^ (eight[starts[todo] + at] & _LOW_BYTES[np.minimum(left, 8)]) * U(_BASE))
+        at += 8
+        todo = todo[(left > 8) & (size[todo] <= LONG)]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([lane])).digest(), "little")
+    return out
 
 
 def window_names(names: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit name of each window of ``size`` words (len(names) - size + 1 of them), whatever row they lie in."""
+    """A 64-bit name of each window of ``size`` names, of a few (len(names) - size + 1 of them), whatever row they lie in."""
     n = len(names) - size + 1
     if n <= 0:
         return np.zeros(0, U)
-    base = ((_BASE * (2 * seed + 1) + 2 * seed) & (1 << 64) - 1) | 1
-    if size <= 8:
-        out = np.zeros(n, U)
-        for i in range(size):
-            out = out * U(base) + names[i : i + n]
-        return mixed(out)
-    out = np.empty(n, U)
-    for at in range(0, n, BLOCK):
-        part = names[at : at + BLOCK + size - 1]
-        total = np.empty(len(part) + 1, U)
-        total[0] = 0
-        np.cumsum(part * powers(base, len(part)), out=total[1:])
-        k = len(part) - size + 1
-        out[at : at + k] = (total[size:] - total[:k]) * powers(pow(base, -1, 1 << 64), k)
+    base = U(((_BASE * (2 * seed + 1) + 2 * seed) & (1 << 64) - 1) | 1)
+    out = np.zeros(n, U)
+    for i in range(size):
+        out = out * base + names[i : i + n]
     return mixed(out)
 
 
