@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from xylem.llm.blocks import column
 from xylem.llm.shared import checkpointed
 from xylem.llm.words import U, distinct_counts, mixed, slices, text_bytes, window_names
 
@@ -177,18 +178,21 @@ def learn(docs: DataFrame, salts: int = 64) -> LanguageFilter:
     return out.close()
 
 
-def language_id(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """docs (with text, and any other columns) with lang_pred and score (0 to 1): the language whose share of the text's
-    n-grams, less chance hits, is the largest; ties go to the one with more training text. A null text or one without a letter is
-    ``und`` with score 0; so is every text when nothing was learned. An empty table stays empty."""
+def language_id(docs: DataFrame, model: LanguageFilter, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs (with text, and any other columns) with the columns ``names``, the predicted language and its score (0 to 1): the
+    language whose share of the text's n-grams, less chance hits, is the largest; ties go to the one with more training text.
+
+    A null text or one without a letter is ``und`` with score 0; so is every text when nothing was learned. Whole texts count,
+    also very long ones; repeated rows are judged each; columns that are called like one of ``names`` are replaced; an empty
+    table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PART):
                 lang, score = shared.value.decide(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, *names])
 
-    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score")]
-    docs = docs.drop(*clash)
-    return docs.mapInArrow(decide, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in names}]
+    made = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType()), strict=True)]
+    return docs.select(*(column(f.name) for f in kept)).mapInArrow(decide, T.StructType([*kept, *made]))

@@ -174,7 +174,7 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
     spread = float(n_tokens + 0.5 * (n_distinct + 1))
     top = _top([r for r in rows if r["node"] >= 0])
 
-    texts = docs.select(blocks.block_of(F.col("doc_id"), n_blocks).alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), flag.alias("trained"))
+    texts = blocks.numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), flag.alias("trained")), n_blocks).drop("place")
 
     def parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
         for batch in table.to_batches():

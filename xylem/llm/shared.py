@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
@@ -13,6 +14,8 @@ def shared_folder(df: DataFrame) -> str:
     session = df.sparkSession
     folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
     if not folder:
+        if not session.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="xylem-")
         session.sparkContext.setCheckpointDir(folder)
         folder = session.sparkContext.getCheckpointDir()
@@ -25,3 +28,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``checkpointed`` made and nothing reads any more."""
+    for table in tables:
+        session = table.sparkSession
+        jvm = session.sparkContext._jvm
+        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """A column name like ``name`` that is not taken."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
