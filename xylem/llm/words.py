@@ -2,45 +2,27 @@
 
 A word is a maximal run of bytes other than space and U+0009..U+000D, which
 equals ``[^\\x20\\x09-\\x0D]+`` on the text since those separators are single
-bytes in UTF-8. A word's name mixes its bytes eight at a time, step by step (no
-polynomial, whose names of long regular words can meet); longer words are
-hashed by BLAKE2. Two lanes name independently: where equal names alone decide,
-both are compared, 128 bits in all. Names depend on content only, so every task
-of every job gives equal words the same name without any exchange.
+bytes in UTF-8. Names depend on content only, so every task of every job gives
+equal words the same name without any exchange; where equal names alone decide,
+those of two lanes are compared, 128 bits in all.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_STEP = U(0xC2B2AE3D27D4EB4F)
-_LANES = [U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
-_LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
-#: Longest word, in bytes, that is named eight bytes at a time.
-LONG = 256
+from xylem.functions.hashing import U, mixed, span_names
+
+_BASE = 0x9E3779B97F4A7C15
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers whose output bits all depend on all input bits."""
-    x = x.copy()
-    x ^= x >> U(30)
-    x *= U(0xBF58476D1CE4E5B9)
-    x ^= x >> U(27)
-    x *= U(0x94D049BB133111EB)
-    x ^= x >> U(31)
-    return x
-
-
 def distinct(names: np.ndarray) -> np.ndarray:
     """The sorted distinct names; sorting is several times as fast as hashing them."""
     names = np.sort(names)
@@ -103,20 +85,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """A 64-bit name for each word; names of the two lanes are independent."""
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    size = ends - starts
-    out = mixed(size.astype(U) * _LANES[lane])
-    todo, at = np.arange(len(starts)), 0
-    while len(todo):
-        left = size[todo] - at
-        out[todo] = mixed(out[todo] * _STEP ^ (eight[starts[todo] + at] & _LOW_BYTES[np.minimum(left, 8)]) * U(_BASE))
-        at += 8
-        todo = todo[(left > 8) & (size[todo] <= LONG)]
-    for i in np.flatnonzero(size > LONG).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([lane])).digest(), "little")
-    return out
+    return span_names(data, starts, ends, lane)
 
 
 def window_names(names: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
