@@ -96,6 +96,62 @@ def test_files_and_registration(spark, tmp_path):
     assert spark.sql("SELECT e.name FROM files, LATERAL xml_events_of(content) e WHERE e.event = 'START_ELEMENT'").first()[0] == "a"
 
 
+def test_any_fault_is_the_documents_own(spark):
+    made = ev.Maker(ev.STATUS, lambda raw: [(True, None, 1 if raw != b"big" else 1 << 70)] if raw != b"bad" else 1 / 0, refused=lambda e: [(False, type(e).__name__, None)])
+    found = {r.doc_id: (r.ok, r.error) for r in ev.per_document(docs(spark, "good", "bad", "big", None), made).collect()}
+    assert found == {0: (True, None), 1: (False, "ZeroDivisionError"), 2: (False, "OverflowError")}
+
+
+def test_options_of_the_session_take_effect(spark):
+    spark.conf.set("xylem.max_depth", "1")
+    try:
+        assert not ev.xml_status(docs(spark, "<a><b></b></a>")).first().ok
+        assert ev.xml_status(docs(spark, "<a><b></b></a>"), XmlOptions()).first().ok
+    finally:
+        spark.conf.unset("xylem.max_depth")
+
+
+def test_profiles_can_be_added(spark):
+    first = lambda events: (next(e.name for e in events if e.event == "START_ELEMENT"),)
+    records.register_profile("Roots", lambda options: records.Profile(first, [T.StructField("root", T.StringType())]))
+    try:
+        found = records.inspect(docs(spark, "<a/>", "<b"), XmlOptions(profile="roots")).orderBy("doc_id").collect()
+        assert [(r.profile, r.ok, r.record) for r in found] == [("roots", True, '{"root":"a"}'), ("roots", False, None)]
+    finally:
+        records.PROFILES.pop("roots")
+        records.PROFILE_NAMES.remove("roots")
+
+
+def test_sinks_and_observation(spark, tmp_path):
+    lines = docs(spark, "<a>1</a>", "<a>\n</a>")
+    with pytest.raises(Exception, match="line feed"):
+        files.write_documents(lines, str(tmp_path / "lines"))
+    files.write_documents(lines, str(tmp_path / "rows"), format="parquet")
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 2
+    seen, observation = files.observed(ev.xml_status(docs(spark, "<a/>", "<a")))
+    seen.collect()
+    assert observation.get == {"rows": 2, "refused": 1}
+    plain, observation = files.observed(lines)
+    plain.collect()
+    assert observation.get == {"rows": 2, "refused": 0}
+
+
+def test_marshalled_events_are_those_of_the_document(spark):
+    pet = T.StructType([T.StructField("_type", T.StringType()), elem("name", ns="urn:n"), elem("day", T.DateType(), nillable=True)])
+    schema = XmlSchema("o", T.StructType([attr("id", T.IntegerType(), ns="urn:m"), elem("pet", T.ArrayType(pet), subtypes={"{urn:p}dog": []}, wrapper="pets"), elem("n", T.ArrayType(T.IntegerType()), nillable=True), value("t")]), ns="urn:o")
+    df = spark.sql("SELECT 1L AS doc_id, named_struct('id', 3, 'pet', array(named_struct('_type', '{urn:p}dog', 'name', 'a<&', 'day', date'2020-01-02'), named_struct('_type', null, 'name', null, 'day', null)), 'n', array(1, null), 't', 'x & y') AS v")
+    keep = ["seq", "event", "depth", "name", "ns", "text", "attrs"]
+    scanned = ev.xml_events(df.select("doc_id", marshal(F.col("v"), schema, fragment=True).alias("content")), columns=keep).where("event not like '%DOCUMENT'")
+    rows = lambda d: [(r.seq, r.event, r.depth, r.name, r.ns, r.text, sorted(r.attrs or [])) for r in d.orderBy("seq").collect()]
+    assert rows(marshal_events(df, "v", schema)) == rows(scanned)
+
+
+def test_windows_make_the_tree_of_foreign_events(spark):
+    events = ev.xml_events(docs(spark, "<!-- c --><a>x<b/>y</a><?p q?>", "<a/>"))
+    columns = ["doc_id", "node_id", "parent_id", "ordinal", "kind", "section"]
+    assert sorted(map(tuple, ev.xml_nodes(events).select(columns).collect()), key=repr) == sorted(((*r[:3], r[3], *r[4:]) for r in ev.xml_nodes(events.drop("ordinal", "section")).select(columns).collect()), key=repr)
+
+
 def test_options(spark):
     spark.conf.set("xylem.max_depth", "7")
     assert XmlOptions.from_session(spark, utf8="off") == XmlOptions(max_depth=7, utf8="none")

@@ -64,9 +64,10 @@ def token_count(text: Column, token: str) -> Column:
 
 
 def structural_positions(text: Column) -> Column:
-    """Offsets of the structural characters, ascending; of bytes, where a text is ASCII."""
-    letters = F.split(text, "")
-    marked = F.transform(letters, lambda c, i: F.when(c.isin(*STRUCTURAL), i.cast("long")))
+    """Byte offsets of the structural characters in a text's UTF-8, ascending."""
+    codes = [f"{ord(c):02X}" for c in STRUCTURAL]
+    each = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    marked = F.transform(each, lambda c, i: F.when(c.isin(*codes), i.cast("long")))
     return F.filter(marked, lambda i: i.isNotNull())
 
 

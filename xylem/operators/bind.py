@@ -1,17 +1,18 @@
-"""Unmarshalling: events to typed columns, in the scan that makes the events."""
+"""Unmarshalling: events to typed columns, in the scan that makes the events, or from a relation of events or nodes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from xylem.functions import codecs
-from xylem.operators.events import per_document
+from xylem.operators.events import Maker, per_document
 from xylem.operators.records import OUTCOME, RecordError
-from xylem.operators.scanner import CDATA, END_ELEMENT, START_ELEMENT, TEXT, Event, XmlError, scan
+from xylem.operators.scanner import CDATA, END_ELEMENT, START_ELEMENT, TEXT, XML_NS, Event, _space, scan
 from xylem.operators.schema import XmlContext, XmlSchema
 from xylem.options import XmlOptions
 
@@ -35,9 +36,9 @@ class _Plan:
                 continue
             name = xml.get("ns", ""), xml["local"]
             if xml["kind"] == "attr":
-                self.attrs[name] = f.name, codecs.parser(f.dataType, xml)
+                self.attrs[name] = f.name, _reader(f.dataType, xml)
             elif xml["kind"] == "value":
-                self.value = f.name, codecs.parser(f.dataType, xml)
+                self.value = f.name, _reader(f.dataType, xml)
             elif "wrapper" in xml:
                 self.wrappers.setdefault((xml.get("wrapper_ns", xml.get("ns", "")), xml["wrapper"]), {})[name] = _Property(f, xml)
             else:
@@ -46,13 +47,19 @@ class _Plan:
                 self.sets.append(f.name)
 
 
+def _reader(kind: T.DataType, xml: dict) -> Callable[[str, dict[str, str]], object]:
+    """A parser that gets the namespaces in scope."""
+    parse = codecs.parser(kind, xml)
+    return parse if xml.get("qname") else lambda text, _: parse(text)
+
+
 class _Property:
     def __init__(self, f: T.StructField, xml: dict):
         self.name, self.many = f.name, isinstance(f.dataType, T.ArrayType)
         kind = f.dataType.elementType if self.many else f.dataType
         self.nillable, self.default = bool(xml.get("nillable")), xml.get("default")
-        self.plan = _Plan(kind, xml.get("subtypes")) if isinstance(kind, T.StructType) else None
-        self.parse = None if self.plan else codecs.parser(kind, xml)
+        self.plan = _Plan(kind, xml.get("subtypes")) if isinstance(kind, T.StructType) and not xml.get("qname") else None
+        self.parse = None if self.plan else _reader(kind, xml)
 
 
 def _expanded(e: Event) -> tuple[str, str]:
@@ -80,7 +87,7 @@ def _skip(events: Iterator[Event]) -> None:
         depth += (e.event == START_ELEMENT) - (e.event == END_ELEMENT)
 
 
-def _scalar(events: Iterator[Event], p: _Property) -> object:
+def _scalar(events: Iterator[Event], p: _Property, scope: dict[str, str]) -> object:
     chunks = []
     for e in events:
         if e.event in (TEXT, CDATA):
@@ -92,17 +99,17 @@ def _scalar(events: Iterator[Event], p: _Property) -> object:
     text = "".join(chunks)
     if not text and p.default is not None:
         text = str(p.default)
-    return p.parse(text)
+    return p.parse(text, scope)
 
 
 def _put(target: dict, p: _Property, events: Iterator[Event], start: Event) -> None:
     attrs = _attributes(start)
-    if attrs.get((XSI, "nil"), "").strip() in ("true", "1"):
+    if attrs.get((XSI, "nil")) in ("true", "1"):
         _skip(events)
         if p.many and p.nillable:
             target[p.name] = [*(target[p.name] or []), None]
         return
-    found = _object(events, start, p.plan, attrs) if p.plan else _scalar(events, p)
+    found = _object(events, start, p.plan, attrs) if p.plan else _scalar(events, p, start.scope)
     if p.many:
         if target[p.name] is None:
             target[p.name] = []
@@ -114,14 +121,18 @@ def _put(target: dict, p: _Property, events: Iterator[Event], start: Event) -> N
 def _object(events: Iterator[Event], start: Event, plan: _Plan, attrs: dict[tuple[str, str], str]) -> dict:
     out, chunks = dict(plan.empty), []
     if plan.subtypes is not None:
-        local = attrs.get((XSI, "type"), "").rpartition(":")[2]
-        if local and local not in plan.subtypes:
-            raise RecordError(f"Unknown xsi:type {local}")
-        out["_type"] = local or None
+        given = attrs.get((XSI, "type"), "")
+        kind = None
+        if given:
+            name = codecs.qname(given, start.scope)
+            kind = f"{{{name['ns']}}}{name['local']}" if name["ns"] else name["local"]
+            if kind not in plan.subtypes:
+                raise RecordError(f"Unknown xsi:type {kind}")
+        out["_type"] = kind
     for name, text in attrs.items():
         if name in plan.attrs:
             column, parse = plan.attrs[name]
-            out[column] = parse(text)
+            out[column] = parse(text, start.scope)
     for e in events:
         if e.event == START_ELEMENT:
             name = _expanded(e)
@@ -147,7 +158,7 @@ def _object(events: Iterator[Event], start: Event, plan: _Plan, attrs: dict[tupl
         elif e.event == END_ELEMENT:
             break
     if plan.value:
-        out[plan.value[0]] = plan.value[1]("".join(chunks))
+        out[plan.value[0]] = plan.value[1]("".join(chunks), start.scope)
     for name in plan.sets:
         if out[name]:
             out[name] = list(dict.fromkeys(out[name]))
@@ -163,68 +174,175 @@ def _with_adapters(column: Column, struct: T.StructType, schema: XmlSchema) -> C
         name = f.metadata.get("xml", {}).get("adapter")
         if name:
             parts.append(schema.adapters[name].read(column[f.name]).alias(f.name))
-        elif isinstance(f.dataType, T.StructType):
+        elif _adapted(f) and isinstance(f.dataType, T.ArrayType):
+            parts.append(F.transform(column[f.name], _each_with_adapters(f.dataType.elementType, schema)).alias(f.name))
+        elif _adapted(f):
             parts.append(_with_adapters(column[f.name], f.dataType, schema).alias(f.name))
         else:
             parts.append(column[f.name].alias(f.name))
     return F.when(column.isNotNull(), F.struct(*parts))
 
 
+def _each_with_adapters(kind: T.StructType, schema: XmlSchema) -> Callable[[Column], Column]:
+    return lambda x: _with_adapters(x, kind, schema)
+
+
 def _adapted(f: T.StructField) -> bool:
-    return bool(f.metadata.get("xml", {}).get("adapter")) or isinstance(f.dataType, T.StructType) and any(map(_adapted, f.dataType.fields))
+    """Whether a field, or one that it reaches, also through lists, has an adapter."""
+    kind = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+    return bool(f.metadata.get("xml", {}).get("adapter")) or isinstance(kind, T.StructType) and any(map(_adapted, kind.fields))
 
 
-def unmarshal(docs: DataFrame, schema: XmlSchema, options: XmlOptions | None = None, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(key, value, ok, error): each document as the bound type. It reads as far as the root's end tag; a document that
-    breaks the grammar before, has another root or a value of the wrong form has a null value and the reason."""
-    options = options or XmlOptions()
+def _bound(schema: XmlSchema) -> Callable[[Iterator[Event]], Iterable[tuple]]:
+    """What makes the row of a document's events."""
     plan, root = _Plan(schema.struct, schema.subtypes.get(schema.root)), (schema.ns, schema.root)
 
-    def each(data: bytes) -> Iterator[tuple]:
-        try:
-            events = scan(data, options)
-            start = next(e for e in events if e.event == START_ELEMENT)
-            if _expanded(start) != root:
-                raise RecordError(f"Expected root <{schema.root}>")
-            yield _object(events, start, plan, _attributes(start)), True, None
-        except (XmlError, ValueError, StopIteration) as e:
-            if options.mode == "FAILFAST":
-                raise RecordError(str(e)) from None
-            if options.mode == "PERMISSIVE":
-                yield None, False, str(e)
-
-    bound = per_document(docs, each, [T.StructField("value", schema.struct), *OUTCOME], key, content)
-    if any(map(_adapted, schema.struct.fields)):
-        bound = bound.withColumn("value", _with_adapters(F.col("value"), schema.struct, schema))
+    def one(events: Iterator[Event]) -> Iterable[tuple]:
+        start = _root(events)
+        if _expanded(start) != root:
+            raise RecordError(f"Expected root <{schema.root}>")
+        return [(_object(events, start, plan, _attributes(start)), True, None)]
+
+    return one
+
+
+def _root(events: Iterator[Event]) -> Event:
+    for e in events:
+        if e.event == START_ELEMENT:
+            return e
+    raise RecordError("No root element")
+
+
+_REFUSED = lambda e: [(None, False, str(e))]
+
+
+def _fields(schema: XmlSchema) -> list[T.StructField]:
+    return [T.StructField("value", schema.struct), *OUTCOME]
+
+
+def _finished(bound: DataFrame, columns: dict[str, XmlSchema]) -> DataFrame:
+    """With the adapters of the columns' schemas applied."""
+    for name, schema in columns.items():
+        if any(map(_adapted, schema.struct.fields)):
+            bound = bound.withColumn(name, _with_adapters(F.col(name), schema.struct, schema))
     return bound
 
 
+def unmarshal(docs: DataFrame, schema: XmlSchema, options: XmlOptions | None = None, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, value, ok, error): each document as the bound type. It reads as far as the root's end tag; a document that
+    breaks the grammar before, has another root or a value of the wrong form has a null value and the reason."""
+    options = options or XmlOptions.of(docs)
+    one = _bound(schema)
+    return _finished(per_document(docs, Maker(_fields(schema), lambda data: one(scan(data, options)), None, _REFUSED, options), key, content), {"value": schema})
+
+
 def unmarshal_any(docs: DataFrame, context: XmlContext, options: XmlOptions | None = None, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(key, root_ns, root_local, one column for each bound root, ok, error): documents by the root they have."""
-    options = options or XmlOptions()
+    options = options or XmlOptions.of(docs)
     plans = {name: (i, _Plan(s.struct, s.subtypes.get(s.root))) for i, (name, s) in enumerate(context.schemas.items())}
-    fields = [T.StructField(s.root, s.struct) for s in context.schemas.values()]
+    fields = [T.StructField(context.columns[name], s.struct) for name, s in context.schemas.items()]
 
-    def each(data: bytes) -> Iterator[tuple]:
+    def each(data: bytes) -> Iterable[tuple]:
         values: list = [None] * len(plans)
         name = (None, None)
         try:
             events = scan(data, options)
-            start = next(e for e in events if e.event == START_ELEMENT)
+            start = _root(events)
             name = _expanded(start)
             if name not in plans:
                 raise RecordError(f"Unbound root <{start.name}>")
             i, plan = plans[name]
             values[i] = _object(events, start, plan, _attributes(start))
-            yield *name, *values, True, None
-        except (XmlError, ValueError, StopIteration) as e:
-            if options.mode == "FAILFAST":
-                raise RecordError(str(e)) from None
-            if options.mode == "PERMISSIVE":
-                yield *name, *[None] * len(plans), False, str(e)
+            return [(*name, *values, True, None)]
+        except Exception as e:
+            if options.mode != "PERMISSIVE":
+                raise
+            return [(*name, *[None] * len(plans), False, str(e))]
 
     names = [T.StructField("root_ns", T.StringType()), T.StructField("root_local", T.StringType())]
-    return per_document(docs, each, [*names, *fields, *OUTCOME], key, content)
+    made = per_document(docs, Maker([*names, *fields, *OUTCOME], each, None, lambda e: [(None, None, *[None] * len(plans), False, str(e))], options), key, content)
+    return _finished(made, {context.columns[name]: s for name, s in context.schemas.items()})
+
+
+def _events_of(rows: Iterable[dict]) -> Iterator[Event]:
+    """Events with depths, owners and namespaces, from rows (seq, event, name, text, attrs) of one document in order. SPACE is
+    text; kinds that are not known are left out."""
+    stack: list[tuple[int, dict[str, str]]] = []
+    for r in rows:
+        kind, attrs = {"SPACE": TEXT}.get(r["event"], r["event"]), [(a["name"], a["value"]) for a in r["attrs"] or ()]
+        scope = stack[-1][1] if stack else {"xml": XML_NS}
+        owner = stack[-1][0] if stack else None
+        if kind == START_ELEMENT:
+            scope = {**scope, **declared} if (declared := {k[6:]: v for k, v in attrs if k == "xmlns" or k.startswith("xmlns:")}) else scope
+            stack.append((r["seq"], scope))
+            yield Event(r["seq"], kind, len(stack), r["name"], _space(r["name"], scope), None, None, attrs, 0, 0, owner, scope)
+        elif kind == END_ELEMENT:
+            if not stack:
+                raise RecordError("Mismatched end of an element")
+            yield Event(r["seq"], kind, len(stack), r["name"], _space(r["name"], scope), None, None, None, 0, 0, owner, None)
+            stack.pop()
+        elif kind in (TEXT, CDATA):
+            yield Event(r["seq"], kind, len(stack), None, None, r["text"] or "", r["text"] or "", None, 0, 0, owner, None)
+    if stack:
+        raise RecordError("Unclosed element")
+
+
+def _by_document(rows: DataFrame, one: Callable[[list[dict]], Iterable[tuple]], schema: XmlSchema, options: XmlOptions, key: str) -> DataFrame:
+    """Rows (key, seq, ...) brought together by document, in order of seq, each document made into its row."""
+    maker = Maker(_fields(schema), one, None, _REFUSED, options)
+    fields = T.StructType([rows.schema[key], *maker.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def done(groups: list[list[dict]]) -> pa.RecordBatch:
+            made = [(g[0][key], *r) for g in groups for r in maker.one(g)]
+            columns = list(zip(*made, strict=True)) or [()] * (len(maker.fields) + 1)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, t) for c, t in zip(columns[1:], maker.types, strict=True))], names=fields.names)
+
+        for batch in batches:
+            kind = batch.schema.field(key).type
+            groups: list[list[dict]] = []
+            for r in batch.to_pylist():
+                if held and r[key] != held[0][key]:
+                    groups.append(held)
+                    held = []
+                held.append(r)
+            if groups:
+                yield done(groups)
+        if held:
+            yield done([held])
+
+    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "seq").mapInArrow(run, fields)
+
+
+def unmarshal_events(events: DataFrame, schema: XmlSchema, options: XmlOptions | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, value, ok, error) of a relation of events (key, seq, event, name, text, attrs), whatever made it: a document's
+    events come together by one exchange, are read in order of seq, and no document is written. Null keys are left out."""
+    one, options = _bound(schema), options or XmlOptions.of(events)
+    rows = events.select(key, "seq", "event", "name", "text", "attrs")
+    return _finished(_by_document(rows, lambda group: one(_events_of(group)), schema, options, key), {"value": schema})
+
+
+def unmarshal_nodes(nodes: DataFrame, schema: XmlSchema, options: XmlOptions | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, value, ok, error) of a relation of nodes (key, node_id, parent_id, kind, name, value, attrs) in document order."""
+    one, options = _bound(schema), options or XmlOptions.of(nodes)
+
+    def events(group: list[dict]) -> Iterator[dict]:
+        open_: list[tuple[int, str]] = []
+        close = lambda: {"seq": 0, "event": END_ELEMENT, "name": open_.pop()[1], "text": None, "attrs": None}
+        for r in group:
+            while open_ and open_[-1][0] != r["parent_id"]:
+                yield close()
+            kind = START_ELEMENT if r["kind"] == "ELEMENT" else r["kind"]
+            yield {"seq": r["seq"], "event": kind, "name": r["name"], "text": r["value"], "attrs": r["attrs"]}
+            if kind == START_ELEMENT:
+                open_.append((r["seq"], r["name"]))
+        while open_:
+            yield close()
+
+    rows = nodes.select(key, F.col("node_id").alias("seq"), "parent_id", "kind", "name", "value", "attrs")
+    return _finished(_by_document(rows, lambda group: one(_events_of(events(group))), schema, options, key), {"value": schema})
 
 
 def entries_adapter(key: str = "key", item: str = "value") -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:

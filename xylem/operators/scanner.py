@@ -44,7 +44,7 @@ class Event(NamedTuple):
     name: str | None
     ns: str | None
     text: str | None
-    raw: str | None
+    raw: str | list[str] | None  # of a start tag: of each attribute
     attrs: list[tuple[str, str]] | None
     byte_start: int
     byte_end: int
@@ -73,11 +73,14 @@ def decode(raw: str, offset: int) -> str:
             return _PREDEFINED[name]
         if not name.startswith("#"):
             raise XmlError(f"Unknown entity &{name};", offset)
-        hexadecimal = name[1:2] == "x"
+        hexadecimal = name[1:2] in ("x", "X")
         digits = name[2:] if hexadecimal else name[1:]
         if not (re.fullmatch(r"[0-9A-Fa-f]+", digits) if hexadecimal else digits.isdecimal()):
-            raise XmlError(f"Malformed character reference &{name};", offset)
-        code = int(digits, 16 if hexadecimal else 10)
+            raise XmlError(f"Malformed character reference &{name[:40]};", offset)
+        # no more digits than the largest code has, so that their number costs nothing
+        code = int(digits[-8:], 16 if hexadecimal else 10) if not digits[:-8].strip("0") else 1 << 30
+        if code > 0x10FFFF:
+            raise XmlError(f"Malformed character reference &{name[:40]};", offset)
         if code not in (9, 10, 13) and not (0x20 <= code <= 0xD7FF or 0xE000 <= code <= 0xFFFD or 0x10000 <= code <= 0x10FFFF):
             raise XmlError(f"Invalid character reference &{name};", offset)
         return chr(code)
@@ -199,7 +202,7 @@ def scan(data: bytes, options: XmlOptions = XmlOptions()) -> Iterator[Event]:
             if not end[1] and len(stack) >= options.max_depth:
                 raise XmlError("Maximum depth exceeded", at)
             rooted = True
-            yield Event(seq, START_ELEMENT, len(stack) + 1, name, _space(name, inner), None, "\x00".join(raws) if raws else None, attrs, at, end.end(), owner, inner)
+            yield Event(seq, START_ELEMENT, len(stack) + 1, name, _space(name, inner), None, raws, attrs, at, end.end(), owner, inner)
             if end[1]:
                 seq += 1
                 yield Event(seq, END_ELEMENT, len(stack) + 1, name, _space(name, inner), None, None, None, at, end.end(), start, None)

@@ -33,6 +33,16 @@ def value(name: str, kind: T.DataType = T.StringType(), **xml) -> T.StructField:
     return _field(name, kind, "value", **xml)
 
 
+def qname(name: str, how: str = "elem", **xml) -> T.StructField:
+    """A field that holds a qualified name: a structure of ns, local and prefix."""
+    return _field(name, codecs.QNAME, how, qname=True, **xml)
+
+
+def decimal_text(name: str, how: str = "elem", **xml) -> T.StructField:
+    """A field that holds a decimal of any size, as text."""
+    return _field(name, T.StringType(), how, decimal=True, **xml)
+
+
 @dataclass(frozen=True)
 class Adapter:
     """A pair of functions between the XML form of a column and what users see."""
@@ -43,8 +53,8 @@ class Adapter:
 
 @dataclass
 class XmlSchema:
-    """A bound root: its name, namespace and type. subtypes: by ``xsi:type`` local name, the fields it has beyond the
-    others; the value gets a ``_type`` column. adapters: by the name that fields give."""
+    """A bound root: its name, namespace and type. subtypes: by ``xsi:type`` name (``local``, or ``{namespace}local``),
+    the fields it has beyond the others; the value gets a ``_type`` column with that name. adapters: by the name that fields give."""
 
     root: str
     struct: T.StructType
@@ -64,7 +74,7 @@ class XmlSchema:
                 continue
             kind = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
             values += xml["kind"] == "value"
-            if isinstance(kind, T.StructType):
+            if isinstance(kind, T.StructType) and not xml.get("qname"):
                 if xml["kind"] != "elem":
                     raise TypeError(f"{f.name}: a structure must be an element")
                 self._check(kind)
@@ -85,6 +95,14 @@ class XmlContext:
             if (s.ns, s.root) in self.schemas:
                 raise ValueError(f"{{{s.ns}}}{s.root} is bound twice")
             self.schemas[s.ns, s.root] = s
+        #: Of each root, the column that has its values: its local name, numbered where two have the same.
+        self.columns: dict[tuple[str, str], str] = {}
+        for name in self.schemas:
+            column, n = name[1], 1
+            while column.lower() in {c.lower() for c in self.columns.values()} | {"root_ns", "root_local", "ok", "error"}:
+                n += 1
+                column = f"{name[1]}_{n}"
+            self.columns[name] = column
 
     def require(self, ns: str, root: str) -> XmlSchema:
         if (ns, root) not in self.schemas:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: Names that the option profile may have; ``records.register_profile`` adds to them.
+PROFILE_NAMES = ["auto", "none", "soap_healthcare", "payments"]
 
 
 @dataclass(frozen=True)
@@ -24,7 +28,8 @@ class XmlOptions:
         alias = {"on": "strict", "true": "strict", "off": "none", "false": "none"}
         object.__setattr__(self, "utf8", alias.get(self.utf8.lower(), self.utf8.lower()))
         object.__setattr__(self, "mode", self.mode.upper())
-        for name, allowed in (("utf8", ("strict", "none")), ("profile", ("auto", "none", "soap_healthcare", "payments")), ("region", ("header", "anywhere")), ("mode", ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"))):
+        object.__setattr__(self, "profile", self.profile.lower())
+        for name, allowed in (("utf8", ("strict", "none")), ("profile", PROFILE_NAMES), ("region", ("header", "anywhere")), ("mode", ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"))):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {', '.join(allowed)}")
         if self.max_depth < 1 or self.capacity < 1:
@@ -37,6 +42,11 @@ class XmlOptions:
         found = {n: kinds.get(n, str)(v) for n in cls.__dataclass_fields__ if (v := spark.conf.get(f"xylem.{n}", None)) is not None}
         return cls(**(found | given))
 
+    @classmethod
+    def of(cls, df: DataFrame) -> XmlOptions:
+        """What the table's session sets; the defaults where it sets nothing."""
+        return cls.from_session(df.sparkSession)
+
     def with_(self, **changes) -> XmlOptions:
         return replace(self, **changes)
 

@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from xylem.functions import guards
 from xylem.operators import events as ev
 from xylem.operators import records
-from xylem.operators.bind import entries_adapter, unmarshal, unmarshal_any
-from xylem.operators.marshal import marshal
-from xylem.operators.schema import Adapter, XmlContext, XmlSchema, attr, elem, value
+from xylem.operators.bind import entries_adapter, unmarshal, unmarshal_any, unmarshal_events, unmarshal_nodes
+from xylem.operators.marshal import marshal, marshal_events, marshal_scalar
+from xylem.operators.schema import Adapter, XmlContext, XmlSchema, attr, decimal_text, elem, qname, value
 from xylem.options import XmlOptions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,7 +288,7 @@ def prolog_epilog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS doc_id, count(*) AS n_lines, CAST(min(l_linenumber) AS VARCHAR) AS first_line FROM lineitem GROUP BY 1")
 def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = ev.xml_nodes(ev.xml_events(order_documents(spark, sf_dir), columns=["seq", "event", "depth", "name", "text", "attrs", "owner_seq"]))
+    nodes = ev.xml_nodes(ev.xml_events(order_documents(spark, sf_dir), columns=["seq", "event", "depth", "name", "text", "attrs", "owner_seq", "ordinal", "section"]))
     lines = ev.children(nodes, "line")
     first = ev.first_child(nodes, "line").join(lines.select("doc_id", "node_id", "attrs"), ["doc_id", "node_id"]).select("doc_id", guards.attribute(F.col("attrs"), "n").alias("first_line"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines")).join(first, "doc_id")
@@ -296,7 +296,7 @@ def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS doc_id, 5 * count(*) AS n_pairs, 3 * count(*) AS under_root FROM lineitem GROUP BY 1")
 def descendant_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = ev.descendants(ev.xml_elements(order_documents(spark, sf_dir)))
+    pairs = ev.descendants(ev.xml_elements(order_documents(spark, sf_dir), path=True))
     return pairs.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("ancestor_name") == "order").alias("under_root"))
 
 
@@ -493,15 +493,294 @@ def reject_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(ev.xml_status(docs).where("ok"), "doc_id", "left_anti").select("doc_id", "o_orderstatus")
 
 
-@query()
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; on one machine, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        folder = "file://" + tempfile.mkdtemp(prefix="xylem-")
+    return f"{folder.rstrip('/')}/queries-{uuid.uuid4().hex}"
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file where executors can read it."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+_CUSTOMER_XML = "concat('<r id=\"', c_custkey, '\">', c_name, '<x/></r>')"
+_CUSTOMER_EVENTS = [("START_DOCUMENT", "NULL", "NULL"), ("START_ELEMENT", "'r'", "NULL"), ("TEXT", "NULL", "c_name"), ("START_ELEMENT", "'x'", "NULL"), ("END_ELEMENT", "'x'", "NULL"), ("END_ELEMENT", "'r'", "NULL"), ("END_DOCUMENT", "NULL", "NULL")]
+
+
+@query(" UNION ALL ".join(f"SELECT c_custkey AS doc_id, {i}::BIGINT AS seq, '{e}' AS event, CAST({n} AS VARCHAR) AS name, CAST({t} AS VARCHAR) AS text FROM customer" for i, (e, n, t) in enumerate(_CUSTOMER_EVENTS)))
 def stream_events_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes a few documents as files, and reads their events as a stream until there are no more."""
-    from xylem.sources.files import stream_documents
+    """The events of a table of documents, read as a stream until there are no more files."""
     from xylem.streaming.streams import run_available
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="xylem-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), "</n><n>").alias("names"))
-    nations.selectExpr("n_regionkey", "concat('<region><n>', names, '</n></region>') AS x").write.mode("overwrite").partitionBy("n_regionkey").text(f"{folder}/in")
-    made = stream_documents(spark, f"{folder}/in/*", glob="*.txt")
-    run_available(made, lambda df: ev.xml_status(df, key="path"), "xylem_stream", f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("ok", "error", "byte_offset")
+    folder = shared_folder(spark)
+    built(spark, sf_dir, "customer", "c_custkey", _CUSTOMER_XML).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("doc_id long, content string").parquet(f"{folder}/in")
+    run_available(stream, lambda df: ev.xml_events(df, columns=["seq", "event", "name", "text"]), "xylem_stream", f"{folder}/checkpoint", f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type AS name, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by day and root, counted over a stream with a watermark."""
+    from xylem.streaming.streams import windowed_counts
+
+    folder, name = shared_folder(spark), f"xylem_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").selectExpr("event_id AS doc_id", "cast(ts AS timestamp) AS time", "concat('<', event_type, '/>') AS content").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("doc_id long, time timestamp, content string").parquet(f"{folder}/in")
+    roots = stream.select("time", F.regexp_extract("content", "^<([^/]+)/>$", 1).alias("name"))
+    windowed_counts(roots, "time", ["name"], "1 day").writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").format("memory").queryName(name).outputMode("complete").start().awaitTermination()
+    return spark.table(name).select(F.to_timestamp_ntz(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")).alias("day"), "name", "n")
+
+
+# ---- sources and sinks
+
+
+@query("SELECT p_partkey AS doc_id, substr('<p>' || p_name || '</p>', 1, 8) AS head FROM part")
+def bounded_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = built(spark, sf_dir, "part", "p_partkey", "encode(concat('<p>', p_name, '</p>'), 'UTF-8')")
+    return docs.select("doc_id", guards.bounded(F.col("content"), 8).cast("string").alias("head"))
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'é-' ELSE 'bytes-' END || c_name AS text FROM customer")
+def first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes where they are given, else characters, as UTF-8."""
+    from xylem.sources import files
+
+    both = built(spark, sf_dir, "customer", "c_custkey", "concat('<r>é-', c_name, '</r>')", "if(c_custkey % 2 = 1, encode(concat('<r>bytes-', c_name, '</r>'), 'UTF-8'), NULL) AS bytes")
+    docs = both.select("doc_id", files.first_source(F.col("bytes"), F.col("content")).alias("content"))
+    return ev.xml_events(docs, columns=["text"], events=["TEXT"])
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files, one a file, and read again whole."""
+    from xylem.sources import files
+
+    folder = shared_folder(spark)
+    built(spark, sf_dir, "supplier", "s_suppkey", "concat('<s id=\"', s_suppkey, '\"><name>', s_name, '</name></s>')").write.partitionBy("doc_id").text(folder)
+    docs = files.read_text_documents(spark, f"{folder}/*")
+    schema = XmlSchema("s", T.StructType([attr("id", _L), elem("name")]))
+    return unmarshal(docs, schema).select("value.id", "value.name")
+
+
+@query("SELECT s_suppkey AS id, s_nationkey AS nation FROM supplier")
+def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by bytes."""
+    from xylem.sources import files
+
+    folder = shared_folder(spark)
+    built(spark, sf_dir, "supplier", "s_suppkey", "concat('<s id=\"', s_suppkey, '\">', s_nationkey, '</s>')").write.partitionBy("doc_id").text(folder)
+    docs = files.read_documents(spark, folder, glob="*.txt", recursive=True)
+    schema = XmlSchema("s", T.StructType([attr("id", _L), value("nation", _I)]))
+    return unmarshal(docs, schema).select("value.id", "value.nation")
+
+
+@query("SELECT c_custkey AS doc_id, c_name || chr(10) || c_mktsegment AS text FROM customer")
+def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with line feeds, written one a row and read again."""
+    from xylem.sources import files
+
+    folder = shared_folder(spark)
+    files.write_documents(built(spark, sf_dir, "customer", "c_custkey", "concat('<r>', c_name, '\n', c_mktsegment, '</r>')"), folder, format="parquet")
+    return ev.xml_events(spark.read.parquet(folder), columns=["text"], events=["TEXT"])
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer")
+def sink_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written one a line and read again."""
+    from xylem.sources import files
+
+    folder = shared_folder(spark)
+    files.write_documents(built(spark, sf_dir, "customer", "c_custkey", "concat('<r id=\"', c_custkey, '\">', c_name, '</r>')"), folder)
+    docs = spark.read.text(folder).select(F.xxhash64("value").alias("doc_id"), F.col("value").alias("content"))
+    return unmarshal(docs, XmlSchema("r", T.StructType([attr("id", _L), value("name")]))).select("value.id", "value.name")
+
+
+@query("SELECT l_orderkey AS orderkey, l_linenumber AS line, l_partkey AS part FROM lineitem")
+def framed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large files of repeated elements, split by Spark's own source."""
+    from xylem.sources import files
+
+    folder = shared_folder(spark)
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 8).alias("k"), F.expr("concat('<item><orderkey>', l_orderkey, '</orderkey><line>', l_linenumber, '</line><part>', l_partkey, '</part></item>')").alias("x"))
+    items.groupBy("k").agg(F.concat(F.lit("<items>"), F.array_join(F.collect_list("x"), ""), F.lit("</items>")).alias("value")).write.partitionBy("k").text(folder)
+    return files.read_rows(spark, folder, "item").select(*(F.col(c).cast(t) for c, t in (("orderkey", "long"), ("line", "int"), ("part", "long"))))
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 3 = 0 AS ok FROM orders")
+def xsd_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from xylem.sources import files
+
+    path = shared_folder(spark) + "/order.xsd"
+    _put(spark, path, '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="o"><xs:complexType><xs:sequence><xs:element name="n" type="xs:long"/></xs:sequence></xs:complexType></xs:element></xs:schema>')
+    docs = built(spark, sf_dir, "orders", "o_orderkey", "element_at(array(concat('<o><n>', o_orderkey, '</n></o>'), '<o><n>x</n></o>', '<!DOCTYPE o><o><n>1</n></o>'), cast(o_orderkey % 3 AS int) + 1)")
+    return files.validate_xsd(docs, path)
+
+
+@query(" UNION ALL ".join(f"SELECT c_custkey AS doc_id, {i + 1}::BIGINT AS seq, '{e}' AS event, {d} AS depth, CAST({n} AS VARCHAR) AS name, CAST({t} AS VARCHAR) AS text, CAST({k} AS VARCHAR) AS key FROM customer" for i, (e, d, n, t, k) in enumerate([("START_ELEMENT", 1, "'c'", "NULL", "CAST(c_custkey AS VARCHAR)"), ("START_ELEMENT", 2, "'name'", "NULL", "NULL"), ("TEXT", 2, "NULL", "'<&' || c_name", "NULL"), ("END_ELEMENT", 2, "'name'", "NULL", "NULL"), ("START_ELEMENT", 2, "'tag'", "NULL", "NULL"), ("TEXT", 2, "NULL", "c_mktsegment", "NULL"), ("END_ELEMENT", 2, "'tag'", "NULL", "NULL"), ("START_ELEMENT", 2, "'tag'", "NULL", "NULL"), ("END_ELEMENT", 2, "'tag'", "NULL", "NULL"), ("END_ELEMENT", 1, "'c'", "NULL", "NULL")])))
+def marshal_events_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of marshalled documents, without the documents."""
+    schema = XmlSchema("c", T.StructType([attr("key", _L), elem("name"), elem("tag", T.ArrayType(_S))]))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.struct(F.col("c_custkey").alias("key"), F.concat(F.lit("<&"), "c_name").alias("name"), F.array("c_mktsegment", F.lit("")).alias("tag")).alias("v"))
+    made = marshal_events(rows, "v", schema)
+    return made.select("doc_id", "seq", "event", "depth", "name", "text", guards.attribute(F.col("attrs"), "key").alias("key"))
+
+
+# ---- grammar and messages, odd cases
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 6 IN (0, 1, 5) AS ok, CASE o_orderkey % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'A' WHEN 5 THEN 'x' END AS text, CASE o_orderkey % 6 WHEN 5 THEN 3 END::BIGINT AS attr_size FROM orders")
+def hostile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in odd forms and of absurd length, and a NUL in an attribute: a document's fault is its own."""
+    shapes = ["'<a>&#X41;</a>'", "'<a>&#0000000000000000000065;</a>'", "concat('<a>&#', repeat('9', 5000), ';</a>')", "'<a>&#x110000;</a>'", "concat('<a>&#x', repeat('F', 6000), ';</a>')", "concat('<a k=\"1', char(0), '2\">x</a>')"]
+    docs = built(spark, sf_dir, "orders", "o_orderkey", f"element_at(array({', '.join(shapes)}), cast(o_orderkey % 6 AS int) + 1)")
+    made = ev.xml_events(docs, columns=["text", "raw_attrs"], events=["START_ELEMENT", "TEXT"]).groupBy("doc_id").agg(F.max("text").alias("text"), F.max(F.length(guards.attribute(F.col("raw_attrs"), "k"))).cast("long").alias("attr_size"))
+    return ev.xml_status(docs).select("doc_id", "ok").join(made, "doc_id", "left")
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 6 IN (0, 5) AS ok, CASE o_orderkey % 6 WHEN 0 THEN '1.20' WHEN 5 THEN '-1200.00' END AS amount, CASE o_orderkey % 6 WHEN 0 THEN '1E+400' WHEN 5 THEN '0.1' END AS big FROM orders")
+def unmarshal_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals that their column can't hold, and decimals of any size."""
+    schema = XmlSchema("d", T.StructType([elem("amount", T.DecimalType(18, 2)), decimal_text("big")]))
+    shapes = [("1.2", "1E+400"), ("1.234", "1"), ("NaN", "1"), ("1e30", "1"), ("1", "one"), ("-1.2E3", "0.1")]
+    docs = built(spark, sf_dir, "orders", "o_orderkey", "element_at(array(" + ", ".join(f"'<d><amount>{x}</amount><big> {y} </big></d>'" for x, y in shapes) + "), cast(o_orderkey % 6 AS int) + 1)")
+    return unmarshal(docs, schema).select("doc_id", "ok", F.col("value.amount").cast("string").alias("amount"), "value.big")
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 5 IN (0, 3, 4) AS ok, CASE o_orderkey % 5 WHEN 0 THEN -1 WHEN 3 THEN 6 WHEN 4 THEN 7 END::BIGINT AS transaction_count, CASE o_orderkey % 5 WHEN 1 THEN 'Invalid NbOfTxs' WHEN 2 THEN 'Empty NbOfTxs' END AS error FROM orders")
+def nbtxs_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of NbOfTxs has to be digits, and the last one counts; an empty element has none."""
+    shapes = ["<NbOfTxs/>", "<NbOfTxs>x<!-- -->5</NbOfTxs>", "<NbOfTxs><![CDATA[]]></NbOfTxs>", "<NbOfTxs>5<!-- -->6</NbOfTxs>", "<NbOfTxs></NbOfTxs><NbOfTxs>7</NbOfTxs><NbOfTxs>x</NbOfTxs>"]
+    docs = built(spark, sf_dir, "orders", "o_orderkey", "element_at(array(" + ", ".join(f"'{x}'" for x in shapes) + "), cast(o_orderkey % 5 AS int) + 1)").selectExpr("doc_id", "concat('<Document><CstmrCdtTrfInitn>', content, '</CstmrCdtTrfInitn></Document>') AS content")
+    return records.payments(docs).select("doc_id", "ok", "transaction_count", "error")
+
+
+@query("SELECT c_custkey AS doc_id, CAST(NULL AS VARCHAR) AS message_id, 'b' || c_custkey AS first_iban, chr(160) || c_name || chr(12288) AS first_bic, '5' AS control_sum FROM customer")
+def payments_nested_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wanted field inside another takes its place; values lose characters up to the blank at their ends, and no others."""
+    docs = built(spark, sf_dir, "customer", "c_custkey", "concat('<Document><FIToFIPmtStsRpt><MsgId>a<IBAN>b', c_custkey, '</IBAN>c</MsgId><BIC>\t', char(160), c_name, '\u3000 \n</BIC><CtrlSum> 5\r</CtrlSum></FIToFIPmtStsRpt></Document>')")
+    return records.payments(docs).select("doc_id", "message_id", "first_iban", "first_bic", "control_sum")
+
+
+@query("SELECT s_suppkey AS doc_id, s_suppkey % 5 IN (0, 1, 4) AS ok, s_suppkey % 5 IN (0, 1, 4) OR s_suppkey % 5 IN (2, 3) AS stream_ok FROM supplier")
+def declaration_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = ['<?xml version="1.0" encoding="utf-8" standalone="yes"?><a/>', "<a/>", '<?xml version="2.0"?><a/>', '<?xml version="1.0" encoding="latin1"?><a/>', "<?xml version=\\'1.1\\'?><!-- c --><a/>"]
+    docs = built(spark, sf_dir, "supplier", "s_suppkey", "element_at(array(" + ", ".join(f"'{x}'" for x in shapes) + "), cast(s_suppkey % 5 AS int) + 1)")
+    return ev.xml_status(docs, declaration=True).select("doc_id", "ok").join(ev.xml_status(docs).select("doc_id", F.col("ok").alias("stream_ok")), "doc_id")
+
+
+@query("SELECT s_suppkey AS doc_id, s_name AS text, CASE WHEN s_suppkey % 2 = 0 THEN 3 ELSE 0 END::BIGINT AS byte_start FROM supplier")
+def byte_order_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = built(spark, sf_dir, "supplier", "s_suppkey", "concat(if(s_suppkey % 2 = 0, unhex('EFBBBF'), unhex('')), encode(concat('<a>', s_name, '</a>'), 'UTF-8'))")
+    made = ev.xml_events(docs, columns=["event", "text", "byte_start"], events=["START_ELEMENT", "TEXT"])
+    return made.groupBy("doc_id").agg(F.max("text").alias("text"), F.min("byte_start").alias("byte_start"))
+
+
+@query("SELECT p_partkey AS doc_id, i - 1 AS pos FROM (SELECT p_partkey, x, unnest(generate_series(1, octet_length(x))) AS i FROM (SELECT p_partkey, encode('<é>' || p_name || '日</é>') AS x FROM part)) WHERE hex(x[i:i]) IN ('3C', '3E', '2F', '3D', '27', '22', '26', '3F', '21')")
+def structural_index_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte offsets also where characters are longer."""
+    return built(spark, sf_dir, "part", "p_partkey", "concat('<é>', p_name, '日</é>')").select("doc_id", F.explode(guards.structural_positions(F.col("content"))).alias("pos"))
+
+
+@query("SELECT p_partkey AS doc_id, list_reduce([2166136261::HUGEINT] || list_transform(generate_series(1, length(p_name)), lambda i: ascii(substr(p_name, i, 1))::HUGEINT), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296)::BIGINT AS hash, 'local' AS local_last, 'b:local' AS local_first, 'a' AS prefix, p_name LIKE '%a%' AS has_a FROM part")
+def slice_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.lit("a:b:local")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), guards.fnv1a(F.col("p_name")).alias("hash"), guards.local_name(name).alias("local_last"), guards.local_name(name, last=False).alias("local_first"), guards.prefix_of(name).alias("prefix"), (guards.find(F.col("p_name"), "a") < F.length("p_name")).alias("has_a"))
+
+
+# ---- binding, odd cases
+
+_CODE = Adapter(lambda c: F.concat(F.lit("C:"), c), lambda c: F.substring(c, 3, 1 << 20))
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS n, 'C:' || l_partkey AS code FROM lineitem")
+def unmarshal_adapter_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adapters on fields of repeated elements."""
+    schema = XmlSchema("order", T.StructType([elem("line", T.ArrayType(T.StructType([attr("n", _I), elem("part", adapter="code")])))]), adapters={"code": _CODE})
+    return unmarshal(order_documents(spark, sf_dir), schema).select("doc_id", F.explode("value.line").alias("l")).select("doc_id", "l.n", F.col("l.part").alias("code"))
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'C:' || c_name END AS one, CASE WHEN c_custkey % 2 = 1 THEN c_name END AS two FROM customer")
+def unmarshal_any_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adapters where documents are bound by their roots, two of which have one local name."""
+    context = XmlContext(XmlSchema("a", T.StructType([elem("v", adapter="code")]), adapters={"code": _CODE}), XmlSchema("a", T.StructType([elem("v")]), ns="urn:two"))
+    docs = built(spark, sf_dir, "customer", "c_custkey", "concat(if(c_custkey % 2 = 0, '<a>', '<a xmlns=\"urn:two\">'), '<v xmlns=\"\">', c_name, '</v></a>')")
+    return unmarshal_any(docs, context).select("doc_id", F.col("a.v").alias("one"), F.col("a_2.v").alias("two"))
+
+
+_NAMED = XmlSchema("r", T.StructType([qname("kind"), qname("of", "attr")]))
+
+
+@query("SELECT c_custkey AS doc_id, 'urn:' || c_nationkey AS ns, c_mktsegment AS local, 'p' AS prefix, CASE WHEN c_custkey % 3 < 2 THEN 'urn:d' END AS attr_ns, c_custkey % 3 < 2 AS ok FROM customer WHERE c_custkey % 3 < 2 UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, false FROM customer WHERE c_custkey % 3 = 2")
+def unmarshal_qname(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Qualified names as values, by the namespaces in scope; an unbound prefix refuses the document."""
+    docs = built(spark, sf_dir, "customer", "c_custkey", "concat('<q:r xmlns:q=\"\" xmlns:p=\"urn:', c_nationkey, '\" xmlns=\"urn:d\" of=\"name\"><kind xmlns=\"\"> ', if(c_custkey % 3 < 2, 'p:', 'z:'), c_mktsegment, ' </kind></q:r>')")
+    made = unmarshal(docs, _NAMED)
+    return made.select("doc_id", "value.kind.ns", "value.kind.local", "value.kind.prefix", F.col("value.of.ns").alias("attr_ns"), "ok")
+
+
+@query("SELECT c_custkey AS doc_id, '<r xmlns:q1=\"urn:a\" of=\"q1:x\"><kind' || CASE WHEN c_custkey % 2 = 0 THEN ' xmlns:q=\"urn:' || c_nationkey || '\">q:' ELSE '>' END || c_mktsegment || '</kind></r>' AS xml FROM customer")
+def marshal_qname(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.struct(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("urn:"), "c_nationkey")).otherwise("").alias("ns"), F.col("c_mktsegment").alias("local"), F.lit("").alias("prefix"))
+    of = F.struct(F.lit("urn:a").alias("ns"), F.lit("x").alias("local"), F.lit("").alias("prefix"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), marshal(F.struct(kind.alias("kind"), of.alias("of")), _NAMED, fragment=True).alias("xml"))
+
+
+@query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN '<n xmlns=\"urn:n\">' || p_size || '</n>' ELSE '<n xmlns=\"urn:n\" xmlns:xsi=\"http://www.w3.org/2001/XMLSchema-instance\" xsi:nil=\"true\"></n>' END AS xml FROM part")
+def marshal_scalar_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), marshal_scalar(size, _I, ("urn:n", "n"), fragment=True).alias("xml"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey AS part, CAST(l_quantity AS INTEGER) AS qty FROM lineitem")
+def unmarshal_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binding from a relation of events, in any order of its rows."""
+    events = ev.xml_events(order_documents(spark, sf_dir), columns=["seq", "event", "name", "text", "attrs"])
+    return unmarshal_events(events, _ORDER).select("doc_id", F.explode("value.line").alias("l")).select("doc_id", "l.n", "l.part", "l.qty")
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey AS part, CAST(l_quantity AS INTEGER) AS qty FROM lineitem")
+def unmarshal_from_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binding from a relation of nodes."""
+    nodes = ev.xml_nodes(ev.xml_events(order_documents(spark, sf_dir)))
+    return unmarshal_nodes(nodes, _ORDER).select("doc_id", F.explode("value.line").alias("l")).select("doc_id", "l.n", "l.part", "l.qty")
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN '{urn:pets}dogType' END AS type, c_custkey % 4 IN (0, 3) AS ok FROM customer")
+def unmarshal_xsi_type_qname(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type's name is qualified: its prefix counts, not only its local part."""
+    pets = XmlSchema("owner", T.StructType([elem("pet", _PET, subtypes={"{urn:pets}dogType": ["bark"]})]))
+    kinds = [' xmlns:p="urn:pets" xsi:type="p:dogType"', ' xsi:type="dogType"', ' xsi:type="p:dogType"', ""]
+    docs = built(spark, sf_dir, "customer", "c_custkey", "concat('<owner xmlns:xsi=\"http://www.w3.org/2001/XMLSchema-instance\"><pet', element_at(array(" + ", ".join(f"'{k}'" for k in kinds) + "), cast(c_custkey % 4 AS int) + 1), '><name>n</name></pet></owner>')")
+    return unmarshal(docs, pets).select("doc_id", F.col("value.pet._type").alias("type"), "ok")
+
+
+@query("SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 1 THEN 'Expected root <customer>' WHEN 2 THEN 'Element b inside a scalar' END AS error FROM customer")
+def unmarshal_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = built(spark, sf_dir, "customer", "c_custkey", "element_at(array('<customer><name>n</name></customer>', '<client/>', '<customer><name>n<b/></name></customer>'), cast(c_custkey % 3 AS int) + 1)")
+    return unmarshal(docs, _CUSTOMER).select("doc_id", "error")
+
+
+# ---- relational operators over the relations
+
+
+@query("SELECT l_orderkey AS doc_id, 4 + 8 * count(*) AS n_events FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def largest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ev.xml_events(order_documents(spark, sf_dir), columns=["event"]).groupBy("doc_id").agg(F.count("*").alias("n_events"))
+    return counts.orderBy(F.desc("n_events"), "doc_id").limit(10)
+
+
+@query("SELECT o_orderkey AS doc_id, 'M' || o_orderkey AS message_id FROM orders WHERE o_orderkey % 4 = 0")
+def record_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that only one of two relations has, compared by value, nulls included."""
+    docs = lambda change: built(spark, sf_dir, "orders", "o_orderkey", f"concat('<D><MsgId>', {change}, '</MsgId></D>')")
+    a, b = (records.payments(docs(x)).drop("ok", "error") for x in ("concat('M', o_orderkey)", "if(o_orderkey % 4 = 0, 'other', concat('M', o_orderkey))"))
+    return a.exceptAll(b).select("doc_id", "message_id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from xylem.functions.guards import has_dtd
+
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """(doc_id, path, content, n_bytes) of whole files: doc_id is the hash of the path."""
@@ -40,10 +42,33 @@ def read_rows(spark: SparkSession, path: str, row_tag: str, **options) -> DataFr
 
 
 def first_source(*columns: Column) -> Column:
-    """The first given of several contents, strings as UTF-8: bytes, then characters."""
-    return F.coalesce(*columns)
-
-
-def write_documents(df: DataFrame, path: str, content: str = "content", mode: str = "error") -> None:
-    """One document a line; documents must not hold line feeds."""
-    df.select(content).write.mode(mode).text(path)
+    """The first given of several contents, as bytes: strings as UTF-8."""
+    return F.coalesce(*(c.cast("binary") for c in columns))
+
+
+def write_documents(df: DataFrame, path: str, content: str = "content", mode: str = "error", format: str = "text") -> None:
+    """One document a line of text, where one that holds a line feed fails the job; or, format parquet, one row each with all
+    columns, whatever the documents hold."""
+    if format == "parquet":
+        df.write.mode(mode).parquet(path)
+        return
+    if format != "text":
+        raise ValueError("documents are written as text or parquet")
+    text = F.col(content).cast("string")
+    df.select(F.when(~F.contains(text, F.lit("\n")), text).when(text.isNotNull(), F.raise_error(F.lit("a document holds a line feed"))).alias("value")).write.mode(mode).text(path)
+
+
+def validate_xsd(docs: DataFrame, xsd: str, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, ok): whether each document holds against an XML schema, by Spark's own XML reader. Documents with a DTD are
+    refused before it sees them. xsd: a file that all executors can read, or one added to the job by ``addFile``."""
+    text = F.col(content).cast("string")
+    safe = F.when(has_dtd(text), F.lit("<")).otherwise(text)
+    parsed = F.from_xml(safe, "_corrupt_record string", {"rowValidationXSDPath": xsd, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return docs.select(key, (parsed["_corrupt_record"].isNull() & text.isNotNull()).alias("ok"))
+
+
+def observed(df: DataFrame, name: str = "documents") -> tuple[DataFrame, Observation]:
+    """The table, and what will be known of it when an action has run: its rows, and of them those that were refused."""
+    seen = Observation(name)
+    bad = F.count_if(~F.col("ok")) if "ok" in df.columns else F.lit(0).cast("long")
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), (F.max(bad) if "ok" not in df.columns else bad).alias("refused")), seen
