@@ -15,7 +15,7 @@ from xylem.llm.license_scan import license_scan
 from xylem.llm.lm_scoring import lm_scoring
 from xylem.llm.nearest import nearest
 from xylem.llm.packing import pack
-from xylem.llm.sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
+from xylem.llm.sentencepiece_codec import sentencepiece_codec
 from xylem.llm.substring_dedup import substring_dedup
 
 
@@ -41,8 +41,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = sentencepiece_decode(sentencepiece_encode(docs, model), model)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return sentencepiece_codec(docs, model).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ just these two, which gives exactly what the merges give.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from xylem.llm.words import slices, text_bytes
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
+#: Words in a worker's pool, and bytes of text at a time.
+WORDS, PART = 600_000, 1 << 20
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -88,10 +90,68 @@ class Model:
         #: ASCII bytes that no piece has: they stand alone.
         self.alone = np.array([i < 128 and chr(i) not in used and i != 32 for i in range(256)])
 
-    def id_bytes(self) -> list[bytes]:
-        """What each id adds to a text."""
+    @cached_property
+    def letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each id adds to a text, all in a row, with begins and sizes; one more id adds nothing."""
         show = {NORMAL: lambda p: p.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p[1:-1], 16)]), UNKNOWN: lambda p: " ⁇ ".encode(), CONTROL: lambda p: b""}
-        return [show[kind](p) for p, _, kind in self.pieces]
+        table = [show[kind](p) for p, _, kind in self.pieces]
+        size = np.array([*map(len, table), 0])
+        return np.frombuffer(b"".join(table), np.uint8), np.cumsum(size) - size, size
+
+
+class Pairs:
+    """Which pieces of a merge model may follow each other: those that the merges of both together give again.
+
+    A piece is undone into the two that its last merge joined; going back in time, always undoing what was merged last, no
+    pair that stands across the border may have a merge that would have come before. Of equal merges the leftmost is first."""
+
+    def __init__(self, model: Model):
+        order = sorted(model.scores, key=lambda p: -model.scores[p])
+        letters = sorted({c for p in order for c in p})
+        #: Numbers of single characters; any other character is number 0.
+        self.letters = {c: i for i, c in enumerate(letters, 1)}
+        self.number = dict(self.letters)
+        self.rank, self.left, self.right = [-1] * (len(letters) + 1), [0] * (len(letters) + 1), [0] * (len(letters) + 1)
+        self.joined: dict[int, int] = {}
+        for rank, piece in enumerate(order):
+            if len(piece) == 1:
+                continue
+            splits = [(self.number.get(piece[:i]), self.number.get(piece[i:])) for i in range(1, len(piece))]
+            splits = [(x, y) for x, y in splits if x is not None and y is not None]
+            split = next(((x, y) for x, y in splits if self.follow(x, y)), None)
+            if split is None:
+                continue  # no merges give it
+            self.number[piece] = len(self.rank)
+            self.rank.append(rank)
+            self.left.append(split[0])
+            self.right.append(split[1])
+            for x, y in splits:
+                self.joined[x << 32 | y] = rank
+        for piece in order:
+            if piece not in self.number and any(piece[:i] in model.scores or piece[i:] in model.scores for i in range(1, len(piece))) and self._merged(piece, model.scores) == [piece]:
+                raise ValueError("a piece has a better score than its parts")
+
+    @staticmethod
+    def _merged(text: str, scores: dict[str, float]) -> list[str]:
+        parts = list(text)
+        while (best := max(((scores[p], -i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in scores), default=None)) is not None:
+            parts[-best[1] : 2 - best[1]] = [parts[-best[1]] + parts[1 - best[1]]]
+        return parts
+
+    def follow(self, x: int, y: int) -> bool:
+        joined, rank = self.joined, self.rank
+        limit = 1 << 30
+        while True:
+            if joined.get(x << 32 | y, limit) < limit:
+                return False
+            if rank[x] > rank[y]:
+                limit = rank[x]
+                x = self.right[x]
+            elif rank[y] < 0:
+                return True
+            else:
+                limit = rank[y] + 1
+                y = self.left[y]
 
 
 class Viterbi:
@@ -100,46 +160,37 @@ class Viterbi:
     def __init__(self, model: Model):
         self.model = model
         self.worst = min(model.scores.values(), default=0.0) - 10
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.pairs = Pairs(model) if model.kind == MERGES else None
+        number = self.pairs.number if self.pairs else {p: i for i, p in enumerate(model.scores)}
+        #: What pieces of two characters or more end with, and the piece's number if that is one.
+        self.suffixes = {p[i:]: -1 for p in number for i in range(len(p) - 1)} | {p: i for p, i in number.items() if len(p) > 1}
         self.word = ""
         self.size = [0]  # of the last piece, by length of prefix
+        self.last = [-1]  # its number
         self.score = [0.0]
 
-    def merged(self, text: str) -> list[str]:
-        """The segmentation of a short text by merging its best pair, leftmost first, again and again."""
-        parts = list(text)
-        scores = self.model.scores
-        while True:
-            best = max(((scores[p], -i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in scores), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
-    def fit(self, left: str, piece: str) -> bool:
-        key = left, piece
-        if (found := self.fits.get(key)) is None:
-            if len(self.fits) > 300_000:
-                self.fits.clear()
-            found = self.fits[key] = self.merged(left + piece) == ([left, piece] if left else [piece])
-        return found
-
     def _extend(self, word: str, end: int) -> None:
-        scores, sizes = self.model.scores, self.size
-        if self.model.kind == MERGES:
-            for n in range(min(self.model.longest, end), 0, -1):
-                begin = end - n
-                piece = word[begin:end]
-                if (n == 1 or piece in scores) and self.fit(word[begin - sizes[begin] : begin], piece):
-                    sizes.append(n)
-                    return
-            raise AssertionError("every prefix has a segmentation")
-        best, size = -np.inf, 1
-        for n in range(1, min(self.model.longest, end) + 1):
-            piece = word[end - n : end]
-            score = scores.get(piece, self.worst if n == 1 else None)
-            if score is not None and self.score[end - n] + score > best:
-                best, size = self.score[end - n] + score, n
+        sizes, ending = self.size, self.suffixes
+        found, n = [], 1
+        while n < end and (number := ending.get(word[end - n - 1 : end])) is not None:
+            n += 1
+            if number >= 0:
+                found.append((n, number))
+        if self.pairs:
+            last, follow = self.last, self.pairs.follow
+            for n, number in reversed(found):
+                if n == end or follow(last[end - n], number):
+                    break
+            else:
+                n, number = 1, self.pairs.letters.get(word[end - 1], 0)
+            sizes.append(n)
+            last.append(number)
+            return
+        best, size = self.score[end - 1] + self.model.scores.get(word[end - 1], self.worst), 1
+        for n, _ in found:
+            score = self.score[end - n] + self.model.scores[word[end - n : end]]
+            if score > best:
+                best, size = score, n
         sizes.append(size)
         self.score.append(best)
 
@@ -147,7 +198,7 @@ class Viterbi:
         shared, most = 0, min(len(word), len(self.word))
         while shared < most and word[shared] == self.word[shared]:
             shared += 1
-        del self.size[shared + 1 :], self.score[shared + 1 :]
+        del self.size[shared + 1 :], self.score[shared + 1 :], self.last[shared + 1 :]
         self.word = word
         for end in range(shared + 1, len(word) + 1):
             self._extend(word, end)
@@ -192,7 +243,38 @@ def _codec(path: str) -> tuple[Model, WordPool]:
             found[i] = search.ids(marked[i])
         return np.array([len(x) for x in found], np.int64), np.array([y for x in found for y in x], np.uint32)
 
-    return model, WordPool(encode, bounds=bounds)
+    return model, WordPool(encode, WORDS, bounds)
+
+
+def _encoded(path: str, texts: pa.Array) -> pa.ListArray:
+    rules, pool = _codec(path)
+    column = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), MARK, " ")
+    if rules.prefix:
+        column = pc.if_else(pc.equal(pc.binary_length(column), 0), column, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string())))
+    found, offsets = pool.texts(*text_bytes(column))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.astype(np.int32)))
+
+
+def _decoded(path: str, column: pa.Array) -> pa.Array:
+    rules, _ = _codec(path)
+    letters, begin, size = rules.letters
+    column = pc.fill_null(column, [])
+    flat = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
+    flat = np.where((flat >= 0) & (flat < len(size) - 1), flat, len(size) - 1)
+    rows = np.r_[0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]
+    total = np.r_[0, np.cumsum(size[flat])]
+    raw = letters[np.arange(total[-1]) + np.repeat(begin[flat] - total[:-1], size[flat])].tobytes()
+    ends = total[rows].tolist()
+    return pa.array([raw[a + (rules.prefix and raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+
+
+def _without(docs: DataFrame, *names: str) -> list[T.StructField]:
+    """The fields of docs but those of these names."""
+    return [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in names}]
+
+
+def _columns(fields: list[T.StructField]) -> list[str]:
+    return ["`" + f.name.replace("`", "``") + "`" for f in fields]
 
 
 def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -200,42 +282,34 @@ def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", ids: s
 
     Null and empty texts have no ids; a column of that name is replaced; repeated rows and other columns stay as they are;
     a very long word costs time in proportion to its length; an empty table stays empty."""
-    kept = [f for f in docs.schema.fields if f.name.lower() != ids.lower()]
+    return sentencepiece_codec(docs, model, text, ids, None)
+
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, pool = _codec(model)
+def sentencepiece_codec(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
+    """docs with the ids of a text column and the text that the ids give, both in one pass over the rows; rows and other
+    columns as ``sentencepiece_encode`` and ``sentencepiece_decode`` state."""
+    kept = _without(docs, ids, *[decoded] * bool(decoded))
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                column = pc.replace_substring(pc.fill_null(part.column(text).cast(pa.large_string()), ""), MARK, " ")
-                if rules.prefix:
-                    column = pc.if_else(pc.equal(pc.binary_length(column), 0), column, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string())))
-                found, offsets = pool.texts(*text_bytes(column))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids])
+            for part in slices(batch, text, PART):
+                lists = _encoded(model, part.column(text))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *([_decoded(model, lists)] if decoded else [])], names=[*part.schema.names, *(f.name for f in made)])
 
-    return docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(encode, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.select(*_columns(kept)).mapInArrow(both, T.StructType([*kept, *made]))
 
 
 def sentencepiece_decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the text of a column of ids; bytes that are no UTF-8 become U+FFFD. Null and empty lists give an empty
-    text, and an id outside the vocabulary, or a null, gives nothing."""
-    kept = [f for f in docs.schema.fields if f.name.lower() != text.lower()]
+    text, and an id outside the vocabulary, or a null, gives nothing; a column of that name is replaced; repeated rows and
+    other columns stay as they are; an empty table stays empty."""
+    kept = _without(docs, text)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, _ = _codec(model)
-        table = rules.id_bytes()
-        letters = np.frombuffer(b"".join(table), np.uint8)
-        size = np.array([*map(len, table), 0])
-        begin = np.cumsum(size) - size
         for batch in batches:
-            column = pc.fill_null(batch.column(ids), [])
-            flat = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
-            flat = np.where((flat >= 0) & (flat < len(table)), flat, len(table))
-            rows = np.r_[0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]
-            total = np.r_[0, np.cumsum(size[flat])]
-            raw = letters[np.arange(total[-1]) + np.repeat(begin[flat] - total[:-1], size[flat])].tobytes()
-            ends = total[rows].tolist()
-            texts = [raw[a + (rules.prefix and raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
-
-    return docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(decode, T.StructType([*kept, T.StructField(text, T.StringType())]))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(model, part.column(ids))], names=[*part.schema.names, text])
+
+    return docs.select(*_columns(kept)).mapInArrow(decode, T.StructType([*kept, T.StructField(text, T.StringType())]))

@@ -16,7 +16,7 @@ import numpy as np
 from xylem.llm.blocks import member
 from xylem.llm.words import U, mixed, word_bounds, word_names
 
-MOST = 400_000
+MOST = 1_000_000
 
 
 class WordPool:
