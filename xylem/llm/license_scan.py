@@ -15,13 +15,14 @@ from __future__ import annotations
 import itertools
 import json
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from xylem.llm.shared import let
+
 #: Standard notices by family.
 NOTICES: dict[str, list[str]] = {
     "MIT": [
@@ -249,11 +250,6 @@ def _ngrams(text: Column) -> tuple[Column, Column]:
     return F.array_distinct(F.concat(found, two)), two
 
 
-def _let(value: Column, of: Callable[[Column], Column]) -> Column:
-    """of(value), with the value evaluated once, also where of() has it in a loop."""
-    return F.element_at(F.transform(F.array(value), of), 1)
-
-
 def _paragraphs(text: Column) -> Column:
     """(paragraph, line): the text's paragraphs and the numbers of their first lines. Lines without their comment signs
     that a hard wrap has parted are one paragraph: none is blank, the first is of a length that a wrap makes, and the second
@@ -267,9 +263,9 @@ def _paragraphs(text: Column) -> Column:
     def made(x: Column) -> Column:
         before = F.concat(F.array(F.lit("")), F.slice(x, 1, F.size(x) - 1))
         first = F.filter(F.transform(F.zip_with(before, x, opens), lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
-        return _let(first, lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(x))), lambda a, b: F.struct(a.alias("paragraph"), F.array_join(F.slice(x, a + 1, b - a), " ").alias("line"))))
+        return let(first, lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(x))), lambda a, b: F.struct(a.alias("paragraph"), F.array_join(F.slice(x, a + 1, b - a), " ").alias("line"))))
 
-    return _let(lines, made)
+    return let(lines, made)
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -280,8 +276,12 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def train(docs: DataFrame) -> Classifier:
     """A classifier from the notices and a bounded sample of documents without a word of licences."""
-    plain = docs.where(F.col("text").isNotNull() & ~F.col("text").rlike(HINTS))
-    rows = plain.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS).select("text").collect()
+    hashed = docs.select("text", F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b"))
+    plain = hashed.where(F.col("text").isNotNull() & ~F.col("text").rlike(HINTS))
+    # first which documents they are, so that no task sends more than these one's texts
+    first = [(r["a"], r["b"]) for r in plain.select("a", "b").orderBy("a", "b").limit(SAMPLE_DOCS).collect()]
+    last = max(first, default=(0, 0))[0]
+    rows = [r for r in plain.where(F.col("a") <= last).dropDuplicates(["a", "b"]).collect() if (r["a"], r["b"]) in set(first)] if first else []
     nothing = [p for r in rows for p in r["text"].split("\n") if p.strip()]
     return Classifier.fit(sorted(nothing, key=lambda p: (len(p), p))[:: -(-len(nothing) // SAMPLE_PARAGRAPHS) or 1])
 

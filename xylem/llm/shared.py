@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -27,17 +32,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     executor is lost. The application's folder can go when the application has ended."""
     path = f"{shared_folder(df)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Removes the files of tables that ``checkpointed`` made and nothing reads any more."""
+    """Removes the files of tables that ``checkpointed`` gave and nothing reads any more."""
     for table in tables:
-        session = table.sparkSession
-        jvm = session.sparkContext._jvm
-        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+        if path := _paths.pop(table, None):
+            session = table.sparkSession
+            file = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(session._jsc.hadoopConfiguration()).delete(file, True)
 
 
 def free(name: str, taken: Iterable[str]) -> str:
@@ -46,3 +52,8 @@ def free(name: str, taken: Iterable[str]) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value evaluated once, also where of() has it in a loop."""
+    return F.element_at(F.transform(F.array(value), of), 1)
