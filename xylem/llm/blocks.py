@@ -22,6 +22,8 @@ from xylem.llm.words import U, slices
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
+#: Of the largest bitmap of wanted keys: 16 MB.
+BITS = 27
 ASKED = "bucket int, block int, names binary, many binary"
 TOLD = "block int, names binary"
 TOLD_ARROW = pa.schema([("block", pa.int32()), ("names", pa.binary())])
@@ -184,3 +186,22 @@ def member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     if not len(of) or not len(x):
         return np.zeros(len(x), bool)
     return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
+
+
+def among(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key (a long) stands in wanted, and a few others that share their bit in a bitmap of 2**BITS bits
+    at most; what goes to the driver and from there to all tasks has that bound, however many keys are wanted."""
+    bits = min(BITS, max(12, wanted.count().bit_length() + 4))
+    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared, names = df.sparkSession.sparkContext.broadcast(table), df.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("__slot").to_numpy()
+            found = (shared.value[at >> 6] >> (at & 63)) & 1
+            yield batch.filter(pa.array(found.astype(bool))).select(names)
+
+    return df.withColumn("__slot", slot).mapInArrow(keep, df.schema)

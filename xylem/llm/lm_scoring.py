@@ -120,7 +120,7 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
     A text is its words, lower-cased in A-Z, and an end; null and empty texts are the end alone. Returns doc_id, held_out,
     n_tokens, n_known (tokens that training has), train_tokens, base_score (log10, smoothed unigram), score (log10 of the
     tree's probability of the words joined by one space and closed by the end) and bits_per_byte. Repeated rows count and
-    are scored each; other columns are ignored; an empty table gives an empty result; with no training row every
+    are scored each; a very long text is read whole, by one task; other columns are ignored; an empty table gives an empty result; with no training row every
     estimate is the uniform one."""
     if not 2 <= depth <= 7:
         raise ValueError("depth must be from 2 to 7")
@@ -203,7 +203,7 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
             return empty
         kind = asked.column("kind")[0].as_py()
         names, value = _held(known)
-        value = value if kind == WORD else log10_probabilities(names, depth, levels(names, value, depth, 2) | top).astype(np.float32)
+        value = value if kind == WORD else log10_probabilities(names, depth, levels(names, value, depth, 2) | top)
         told = [value[np.searchsorted(names, np.frombuffer(x, U))].tobytes() for x in asked.column("names").to_pylist()]
         return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "values": pa.array(told, pa.binary())})
 
@@ -211,7 +211,7 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
         right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         told = {k: [] for k in (WORD, GRAM)}
         for kind, x in zip(right.column("kind").to_pylist(), right.column("values").to_pylist(), strict=True):
-            told[kind].append(np.frombuffer(x, np.int64 if kind == WORD else np.float32))
+            told[kind].append(np.frombuffer(x, np.int64 if kind == WORD else float))
         known = distinct_names(left)
         values = []
         for kind in (WORD, GRAM):
@@ -232,7 +232,7 @@ def lm_scoring(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
             done.append(pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]))
         return pa.Table.from_batches(done)
 
-    asks = texts.groupBy("block").applyInArrow(ask, "kind int, bucket int, block int, names binary").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
-    spread_model = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    answers = asks.groupBy("kind", "bucket", "salt").cogroup(spread_model.groupBy("kind", "bucket", "salt")).applyInArrow(lambda a, b: answer(a, b), "block int, kind int, bucket int, values binary")
+    # a name is asked for once by each block, and buckets grow in number with the blocks: what meets in one stays as large
+    asks = texts.groupBy("block").applyInArrow(ask, "kind int, bucket int, block int, names binary")
+    answers = asks.groupBy("kind", "bucket").cogroup(model.groupBy("kind", "bucket")).applyInArrow(lambda a, b: answer(a, b), "block int, kind int, bucket int, values binary")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
