@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from xylem.llm.shared import checkpointed
 
 #: Trees; vectors that the splits are fitted on, at most; levels of a tree, at most; share of all vectors that a query
-#: may look at (with repeats over trees), and how many it looks at in any case.
-TREES, SAMPLE, LEVELS, SHARE, LEAST = 6, 16_384, 12, 0.55, 2_000
+#: may look at (with repeats over trees), the same at every size; cosines that differ by less are compared exactly.
+TREES, SAMPLE, LEVELS, SHARE, CLOSE = 6, 16_384, 12, 0.55, 1e-9
 #: Vectors in a shard and queries in a block.
 SHARD, QUERIES = 40_000, 20_000
 
@@ -92,6 +92,14 @@ class Forest:
         return np.concatenate(out, 1)
 
 
+def _largest(near: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``keep`` largest numbers, and of those that are as large but for rounding."""
+    if near.shape[1] <= keep:
+        return tuple(x.ravel() for x in np.indices(near.shape))
+    limit = np.partition(near, near.shape[1] - keep, 1)[:, near.shape[1] - keep]
+    return np.nonzero(near >= limit[:, None] - CLOSE)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TREES, share: float = SHARE, seed: int = 7) -> DataFrame:
     """The k nearest found of vectors (vec_id, embedding), by cosine in double precision, for each row of queries (the same
     columns), its own vec_id left out.
@@ -112,7 +120,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     distinct = checkpointed(first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     count = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
+    # the vectors with the smallest hashes; what is far from them doesn't travel
+    hashed = distinct.select("embedding", F.xxhash64("embedding").alias("hash"))
+    if count > 2 * SAMPLE:
+        hashed = hashed.where(F.col("hash") < int(-(2**63) + 2**64 * (1.2 * SAMPLE / count)))
+    sample = hashed.orderBy("hash").limit(SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
     levels = int(np.clip(np.log2(max(2, count) / 6), 1, LEVELS))
     forest = vectors.sparkSession.sparkContext.broadcast(Forest.fit(_unit(_matrix(sample, dimension)), trees, levels, seed))
 
@@ -129,7 +141,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
     shards = max(8, count * trees // SHARD)
     asked = queries.where(valid).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.size("embedding") == dimension).distinct()
     parts = max(1, -(-asked.count() // QUERIES))
-    budget = max(LEAST, share * count)
+    budget = share * count
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,8 +181,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
             if not len(ask):
                 continue
             near = q[ask] @ x[some].T
-            best = np.argpartition(-near, min(keep, len(some)) - 1, 1)[:, :keep] if len(some) > keep else np.tile(np.arange(len(some)), (len(ask), 1))
-            found.append((np.repeat(ask, best.shape[1]), some[best].ravel(), np.take_along_axis(near, best, 1).ravel()))
+            row, best = _largest(near, keep)
+            found.append((ask[row], some[best], near[row, best]))
         if not found:
             return empty
         ask, some, near = (np.concatenate(f) for f in zip(*found, strict=True))
@@ -179,11 +191,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
         order = np.lexsort((vector, ask))
         first = np.r_[True, (ask[order][1:] != ask[order][:-1]) | (vector[order][1:] != vector[order][:-1])]
         ask, some, near = (x[order[first]] for x in (ask, some, near))
-        order = np.lexsort((some, -near, ask))
-        ask, some = ask[order], some[order]
+        # all that may be among the nearest by their rounded cosines are ranked by the exact ones, ties by id
+        order = np.lexsort((-near, ask))
+        ask, some, near = ask[order], some[order], near[order]
+        begin = np.searchsorted(ask, ask)
+        limit = near[np.minimum(begin + keep - 1, np.searchsorted(ask, ask, "right") - 1)]
+        ask, some = ask[near >= limit - CLOSE], some[near >= limit - CLOSE]
+        scores = np.array([cosine(original_q[i], original_x[j]) for i, j in zip(ask.tolist(), some.tolist(), strict=True)])
+        order = np.lexsort((pc.list_element(index.column("ids"), 0).to_numpy()[some], -scores, ask))
+        ask, some, scores = ask[order], some[order], scores[order]
         at = np.arange(len(ask)) - np.searchsorted(ask, ask) < keep
-        ask, some = ask[at], some[at]
-        scores = [cosine(original_q[i], original_x[j]) for i, j in zip(ask.tolist(), some.tolist(), strict=True)]
+        ask, some, scores = ask[at], some[at], scores[at]
         return pa.table({"query_id": asks.column("query_id").take(pa.array(ask)), "ids": index.column("ids").take(pa.array(some)), "score": pa.array(scores, pa.float64())})
 
     index = indexed.select("embedding", "ids", F.explode("cells").alias("cell")).withColumn("shard", F.pmod("cell", F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
