@@ -2,7 +2,7 @@
 
 Training counts letter n-grams by language and keeps, for each language, those
 that are typical of it. One table of slots holds all languages' Bloom filters,
-sliced by bit: a slot is a number with a bit for each language, an n-gram sets
+sliced by bit: a slot has a bit for each language (a number for 64 of them), an n-gram sets
 its languages' bits in its few slots, and the conjunction of an n-gram's slots
 is the set of all languages that may hold it, found with one read of each slot.
 A text's hits are counted for each language, the hits that the filter's fill
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xylem.llm.blocks import column
-from xylem.llm.shared import checkpointed
+from xylem.llm.blocks import column, text_size
+from xylem.llm.shared import checkpointed, dropped
 from xylem.llm.words import U, distinct_counts, mixed, slices, text_bytes, window_names
 
 #: Bytes in an n-gram; slots in the table; slots of an n-gram; n-grams that a task holds before it passes them on.
@@ -62,28 +62,32 @@ class LanguageFilter:
     """All languages' filters in one table, and how full each is."""
 
     def __init__(self, languages: list[str]):
-        if len(languages) > 64:
-            raise ValueError("a slot has 64 bits")
         self.languages = languages
-        self.table = np.zeros(SLOTS, U)
+        self.planes = -(-len(languages) // 64)
+        self.table = np.zeros((self.planes, SLOTS), U)
         self.prior = np.zeros(len(languages))
 
-    def add(self, names: np.ndarray, masks: np.ndarray) -> None:
+    def add(self, names: np.ndarray, masks: np.ndarray, plane: int = 0) -> None:
         for k in range(HASHES):
-            np.bitwise_or.at(self.table, slots(names, k), masks)
+            np.bitwise_or.at(self.table[plane], slots(names, k), masks)
+
+    def _bits(self, words: np.ndarray) -> Iterator[np.ndarray]:
+        """For each language, its bit of all words (plane, word)."""
+        for i in range(len(self.languages)):
+            yield (words[i // 64] >> U(i % 64)) & U(1)
 
     def close(self) -> LanguageFilter:
         """The chance that a strange n-gram seems to be in each language."""
-        fill = np.array([np.count_nonzero(self.table & U(1 << i)) for i in range(len(self.languages))]) / SLOTS
+        fill = np.array([np.count_nonzero(x) for x in self._bits(self.table)]) / SLOTS
         self.chance = fill**HASHES
         return self
 
     def hits(self, names: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """For each of n rows, how many of its n-grams each language may hold."""
-        found = self.table[slots(names, 0)]
+        found = self.table[:, slots(names, 0)]
         for k in range(1, HASHES):
-            found &= self.table[slots(names, k)]
-        return np.stack([np.bincount(owner, ((found >> U(i)) & U(1)).astype(float), n) for i in range(len(self.languages))], 1) if self.languages else np.zeros((n, 0))
+            found &= self.table[:, slots(names, k)]
+        return np.stack([np.bincount(owner, x.astype(float), n) for x in self._bits(found)], 1) if self.languages else np.zeros((n, 0))
 
     def decide(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         n = len(texts)
@@ -97,15 +101,19 @@ class LanguageFilter:
         return [self.languages[i] if ok else "und" for i, ok in zip(best, letter, strict=True)], np.where(letter, share[np.arange(n), best], 0.0)
 
 
-def learn(docs: DataFrame, salts: int = 64) -> LanguageFilter:
-    """Filters from all rows of docs (text, lang) with both. The driver gets the n-grams that are typical of some language,
-    as parts of the table, of SLOTS numbers whatever the corpus, and one total for each language."""
+def learn(docs: DataFrame) -> LanguageFilter:
+    """Filters from all rows of docs (text, lang) with both; any number of languages. The driver gets the n-grams that are typical of some language,
+    as parts of the table, of SLOTS numbers for 64 languages whatever the corpus, and one total for each language. Null texts
+    and languages teach nothing; repeated rows count each."""
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     languages = sorted(r["lang"] for r in rows.groupBy("lang").count().collect())
     out = LanguageFilter(languages)
     if not languages:
         return out.close()
     number = {x: i for i, x in enumerate(languages)}
+    total_bytes = text_size(rows)
+    salts = max(64, total_bytes >> 25)
+    rounds = max(1, total_bytes >> 31)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -151,30 +159,38 @@ def learn(docs: DataFrame, salts: int = 64) -> LanguageFilter:
         counts = np.bincount(inverse, counts, len(names)).astype(np.int64)
         return pa.table({"bucket": table.column("bucket")[:1], "lang": table.column("lang")[:1], "names": pa.array([names.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "n": pa.array([int(counts.sum())], pa.int64())})
 
-    sums = checkpointed(rows.mapInArrow(count, counted).groupBy("bucket", "lang").applyInArrow(merge, counted + ", n long"))
+    # in two steps, so that no group grows with the number of tasks
+    parts = rows.mapInArrow(count, counted).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(rounds)))
+    merged = parts.groupBy("bucket", "lang", "part").applyInArrow(lambda t: merge(t), counted + ", n long")
+    sums = checkpointed(merged.groupBy("bucket", "lang").applyInArrow(lambda t: merge(t), counted + ", n long"))
     totals = np.ones(len(languages))
     for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect():
         totals[r["lang"]] = r["n"]
 
     def typical(table: pa.Table) -> pa.Table:
-        """This bucket's part of the slots: (slot, mask)."""
+        """This bucket's part of the slots: (plane, slot, mask)."""
         langs = table.column("lang").to_pylist()
-        parts = [np.frombuffer(x, U) for x in table.column("names").to_pylist()]
+        held = [np.frombuffer(x, U) for x in table.column("names").to_pylist()]
         counts = [np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()]
-        names = np.unique(np.concatenate(parts))
-        share = np.zeros((len(names), len(languages)))
-        for i, x, c in zip(langs, parts, counts, strict=True):
-            share[np.searchsorted(names, x), i] = np.where(c > 1, c, 0) / totals[i]
-        keep = (share >= LEAST) & (share * SPREAD >= share.max(1, keepdims=True))
-        masks = (keep.astype(U) << np.arange(len(languages)).astype(U)).sum(1, dtype=U)
-        names, masks = names[masks > 0], masks[masks > 0]
-        slot = np.concatenate([slots(names, k) for k in range(HASHES)])
-        return pa.table({"slot": slot, "mask": np.tile(masks, HASHES).astype(np.int64)})
-
-    found = sums.groupBy("bucket").applyInArrow(typical, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    table = found.toArrow()
+        names = np.unique(np.concatenate(held))
+        most = np.zeros(len(names))
+        shares = []
+        for i, x, c in zip(langs, held, counts, strict=True):
+            at, share = np.searchsorted(names, x), c / totals[i]
+            shares.append((i, at, share))
+            most[at] = np.maximum(most[at], share)
+        masks = np.zeros((out.planes, len(names)), U)
+        for i, at, share in shares:
+            at = at[(share >= LEAST) & (share * SPREAD >= most[at])]
+            masks[i // 64, at] |= U(1) << U(i % 64)
+        plane, at = np.nonzero(masks)
+        slot = np.concatenate([slots(names[at], k) for k in range(HASHES)])
+        return pa.table({"plane": pa.array(np.tile(plane, HASHES), pa.int32()), "slot": slot, "mask": np.tile(masks[plane, at], HASHES).astype(np.int64)})
+
+    table = sums.groupBy("bucket").applyInArrow(typical, "plane int, slot long, mask long").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
     out.prior = totals / totals.sum()
-    out.table[table.column("slot").to_numpy()] = table.column("mask").to_numpy().astype(U)
+    out.table[table.column("plane").to_numpy(), table.column("slot").to_numpy()] = table.column("mask").to_numpy().astype(U)
+    dropped(sums)
     return out.close()
 
 
