@@ -76,4 +76,28 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_sentencepiece, op4_license_scan, op5_jaccard_join, op6_lm_scoring, op7_nearest, op8_chat_format, op9_language_id, op10_document_fingerprints)}
-ORACLES: dict[str, str] = {}
+
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+#: DuckDB SQL of the same rows, where SQL can state them.
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+starts AS (SELECT r, words, unnest(generate_series(1, len(words) - 34)) AS i FROM docs WHERE len(words) >= 35),
+windows AS (SELECT r, i, array_to_string(words[i:i + 34], ' ') AS w FROM starts),
+hits AS (SELECT r, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, i + k AS p FROM hits, (SELECT unnest(generate_series(0, 34)) AS k)),
+every AS (SELECT r, unnest(words) AS word, unnest(generate_series(1, len(words))) AS p FROM docs),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM every ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)""",
+    "op5_jaccard_join": f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+starts AS (SELECT r, words, unnest(generate_series(1, greatest(len(words) - 3, 1))) AS i FROM docs WHERE len(words) > 0),
+shingles AS MATERIALIZED (SELECT DISTINCT r, array_to_string(words[i:i + 3], ' ') AS s FROM starts),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT c.a, c.b FROM common c JOIN sizes x ON x.r = c.a JOIN sizes y ON y.r = c.b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+linked AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS r, b AS dest FROM linked UNION SELECT reach.r, linked.b FROM reach JOIN linked ON linked.a = reach.dest),
+least AS (SELECT reach.r, min(d.doc_id) AS least FROM reach JOIN docs d ON d.r = reach.dest GROUP BY reach.r)
+SELECT doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least.least, doc_id)) AS component_id FROM docs LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)""",
+}
