@@ -5,9 +5,12 @@ import random
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import types as T
+
+from xylem.operators import bind, records
 from xylem.operators import events as ev
-from xylem.operators import records
 from xylem.operators.batches import Tokens
+from xylem.operators.schema import XmlContext, XmlSchema, attr, elem, value
 from xylem.options import XmlOptions
 
 NAMES = ["a", "b:c", "d-e", "f.g", "é", "p:x", "Action", "MsgId", "IBAN", "NbOfTxs", "BIC", "BICFI", "CstmrCdtTrfInitn"]
@@ -41,7 +44,11 @@ def contents():
     return pa.array(raw, pa.binary())
 
 
+PART = T.StructType([attr("k"), value("text"), elem("d-e", T.ArrayType(T.StringType()), ns="urn:a"), elem("IBAN"), elem("NbOfTxs", T.IntegerType())])
+ROOT = XmlSchema("a", T.StructType([attr("k"), elem("MsgId"), elem("c", T.ArrayType(PART), ns="urn:b"), elem("BIC", T.DecimalType(5, 1))]))
 OPERATORS = {
+    "bound": lambda o: bind.unmarshal(None, ROOT, o),
+    "any": lambda o: bind.unmarshal_any(None, XmlContext(ROOT, XmlSchema("a", PART, ns="urn:a"), XmlSchema("IBAN", PART)), o),
     "events": lambda o: ev.xml_events(None, o, list(ev.EVENT_COLUMNS)),
     "some events": lambda o: ev.xml_events(None, o, ["seq", "event", "text", "owner_seq", "ordinal"], ["TEXT", "START_ELEMENT"]),
     "status": lambda o: ev.xml_status(None, o),
@@ -59,7 +66,7 @@ OPERATORS = {
 @pytest.mark.parametrize("options", [XmlOptions(), XmlOptions(max_depth=2, utf8="none")], ids=["strict", "shallow"])
 def test_like_the_scan(contents, monkeypatch, name, options):
     made = []
-    for module in (ev, records):
+    for module in (ev, records, bind):
         monkeypatch.setattr(module, "per_document", lambda docs, maker, *_: made.append(maker))
     OPERATORS[name](options)
     fast = made[0]

@@ -10,6 +10,7 @@ What is made here for a plain document is what ``scan`` would give.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from xylem.functions.hashing import span_names
-from xylem.operators.scanner import _ATTRIBUTE, _CLOSE, _OPEN, _OPEN_END, _TARGET, BOM, XML_NS, XmlError, decode
+from xylem.operators.scanner import _ATTRIBUTE, _CLOSE, _OPEN, _OPEN_END, _TARGET, BOM, END_ELEMENT, START_ELEMENT, TEXT, XML_NS, Event, XmlError, decode
 from xylem.options import XmlOptions
 
 BAD, DECLARATION, OPEN, CLOSE, EMPTY = range(-1, 4)
@@ -292,3 +293,30 @@ class Tokens:
             found = value[asked]
             out[asked[found >= 0]] = found[found >= 0]
         return pa.array(uris, pa.string()).take(pa.array(out))
+
+    def element_events(self) -> Iterator[Iterator[Event]]:
+        """For each plain document its starts, texts and ends, without their places in the document."""
+        kinds, shapes, levels = self.kind.tolist(), self.shape.tolist(), self.level.tolist()
+        spaces, texts = self.space.to_pylist(), self.texts(np.arange(len(self))).to_pylist()
+        attrs, declares = [list(s.attrs) for s in self.shapes], [s.declares for s in self.shapes]
+        names = [s.name for s in self.shapes]
+
+        def of(first: int, last: int) -> Iterator[Event]:
+            scopes: list[dict[str, str]] = [{"xml": XML_NS}]
+            for i in range(first, last):
+                kind, shape, level = kinds[i], shapes[i], levels[i]
+                if texts[i] is not None:
+                    yield Event(0, TEXT, level, None, None, texts[i], texts[i], None, 0, 0, None, None)
+                if kind == CLOSE:
+                    scopes.pop()
+                    yield Event(0, END_ELEMENT, level, names[shape], None, None, None, None, 0, 0, None, None)
+                elif kind != DECLARATION:
+                    scope = {**scopes[-1], **declares[shape]} if declares[shape] else scopes[-1]
+                    yield Event(0, START_ELEMENT, level, names[shape], spaces[i], None, None, attrs[shape], 0, 0, None, scope)
+                    if kind == EMPTY:
+                        yield Event(0, END_ELEMENT, level, names[shape], None, None, None, None, 0, 0, None, None)
+                    else:
+                        scopes.append(scope)
+
+        for first, last in zip(self.first.tolist(), [*self.first[1:].tolist(), len(self)], strict=True):
+            yield of(first, last)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from xylem.functions import codecs
-from xylem.operators.events import Maker, per_document
+from xylem.operators.batches import Tokens
+from xylem.operators.events import Made, Maker, per_document
 from xylem.operators.records import OUTCOME, RecordError
 from xylem.operators.scanner import CDATA, END_ELEMENT, START_ELEMENT, TEXT, XML_NS, Event, _space, scan
 from xylem.operators.schema import XmlContext, XmlSchema
@@ -213,6 +216,26 @@ def _root(events: Iterator[Event]) -> Event:
     raise RecordError("No root element")
 
 
+def _plainly(one: Callable[[Iterator[Event]], Iterable[tuple]], fields: list[T.StructField]) -> Callable[[Tokens], Made]:
+    """The rows of a batch's plain documents; those that are refused are left to the scan."""
+    types = [to_arrow_type(f.dataType) for f in fields]
+
+    def plain(t: Tokens) -> Made:
+        done, rows = [], []
+        for doc, events in zip(t.docs.tolist(), t.element_events(), strict=True):
+            try:
+                found = list(one(events))
+            except Exception:  # the scan tells why
+                continue
+            done.append(doc)
+            rows += found
+        columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+        at = np.array(done, np.int64)
+        return at, at, [pa.array(c, kind) for c, kind in zip(columns, types, strict=True)]
+
+    return plain
+
+
 _REFUSED = lambda e: [(None, False, str(e))]
 
 
@@ -233,7 +256,7 @@ def unmarshal(docs: DataFrame, schema: XmlSchema, options: XmlOptions | None = N
     breaks the grammar before, has another root or a value of the wrong form has a null value and the reason."""
     options = options or XmlOptions.of(docs)
     one = _bound(schema)
-    return _finished(per_document(docs, Maker(_fields(schema), lambda data: one(scan(data, options)), None, _REFUSED, options), key, content), {"value": schema})
+    return _finished(per_document(docs, Maker(_fields(schema), lambda data: one(scan(data, options)), _plainly(one, _fields(schema)), _REFUSED, options), key, content), {"value": schema})
 
 
 def unmarshal_any(docs: DataFrame, context: XmlContext, options: XmlOptions | None = None, key: str = "doc_id", content: str = "content") -> DataFrame:
@@ -242,25 +265,29 @@ def unmarshal_any(docs: DataFrame, context: XmlContext, options: XmlOptions | No
     plans = {name: (i, _Plan(s.struct, s.subtypes.get(s.root))) for i, (name, s) in enumerate(context.schemas.items())}
     fields = [T.StructField(context.columns[name], s.struct) for name, s in context.schemas.items()]
 
-    def each(data: bytes) -> Iterable[tuple]:
+    def one(events: Iterator[Event], seen: list) -> Iterable[tuple]:
         values: list = [None] * len(plans)
-        name = (None, None)
+        start = _root(events)
+        name = _expanded(start)
+        seen[:] = name
+        if name not in plans:
+            raise RecordError(f"Unbound root <{start.name}>")
+        i, plan = plans[name]
+        values[i] = _object(events, start, plan, _attributes(start))
+        return [(*name, *values, True, None)]
+
+    def each(data: bytes) -> Iterable[tuple]:
+        seen = [None, None]
         try:
-            events = scan(data, options)
-            start = _root(events)
-            name = _expanded(start)
-            if name not in plans:
-                raise RecordError(f"Unbound root <{start.name}>")
-            i, plan = plans[name]
-            values[i] = _object(events, start, plan, _attributes(start))
-            return [(*name, *values, True, None)]
+            return one(scan(data, options), seen)
         except Exception as e:
             if options.mode != "PERMISSIVE":
                 raise
-            return [(*name, *[None] * len(plans), False, str(e))]
+            return [(*seen, *[None] * len(plans), False, str(e))]
 
     names = [T.StructField("root_ns", T.StringType()), T.StructField("root_local", T.StringType())]
-    made = per_document(docs, Maker([*names, *fields, *OUTCOME], each, None, lambda e: [(None, None, *[None] * len(plans), False, str(e))], options), key, content)
+    columns = [*names, *fields, *OUTCOME]
+    made = per_document(docs, Maker(columns, each, _plainly(lambda events: one(events, []), columns), lambda e: [(None, None, *[None] * len(plans), False, str(e))], options), key, content)
     return _finished(made, {context.columns[name]: s for name, s in context.schemas.items()})
 
 

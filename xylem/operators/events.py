@@ -105,11 +105,13 @@ class Maker:
         rest = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
         if self.plain:
             tokens = tokens_of(column, self.options)
-            if len(tokens):
-                done, at, columns = self.plain(tokens)
-                if len(at):
-                    yield at, columns
-                rest = rest[~np.isin(rest, done)]
+            try:
+                done, at, columns = self.plain(tokens) if len(tokens) else (rest[:0], rest[:0], [])
+            except (pa.ArrowException, ValueError, TypeError, OverflowError):  # one by one shows whose fault it is
+                done, at = rest[:0], rest[:0]
+            if len(at):
+                yield at, columns
+            rest = rest[~np.isin(rest, done)]
         at, rows = [], []
         for i in rest.tolist():
             found = self.one(column[i].as_py())

@@ -36,7 +36,7 @@ def register(spark: SparkSession) -> None:
             try:
                 for _ in scan(bytes(data)):
                     pass
-            except XmlError:
+            except (XmlError, ValueError):
                 return False
             return True
 
@@ -48,7 +48,7 @@ def register(spark: SparkSession) -> None:
                 return
             try:
                 found = list(scan(bytes(content)))
-            except XmlError:
+            except (XmlError, ValueError):
                 return
             for e in found:
                 yield e.seq, e.event, e.depth, e.name, e.text
