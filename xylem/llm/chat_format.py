@@ -126,7 +126,8 @@ def chat_format(turns: DataFrame, costs: Costs | None = None, start: str = "<|im
     row), cost and piece: what it adds to the rendered conversation, so that a conversation's pieces in order, joined, are
     its text (see ``rendered``). Turns are ordered by turn, then role and text, nulls first. Unknown and null roles take
     the label that costs least; null texts are empty; markers in a text get a space, so they don't end a turn; repeated
-    rows are turns of their own; null conversations are one; other columns are ignored; an empty table stays empty."""
+    rows are turns of their own; null conversations are one; a very long text is a turn like others; other columns are
+    ignored, whatever their names; an empty table stays empty."""
     costs = costs or Costs()
     table, ways = costs.tables
     closing = np.array([costs.insert * len(costs.ending(s)) for s in range(4)], np.int64)
