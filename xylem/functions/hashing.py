@@ -33,17 +33,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """A name for each span of data."""
+    return named_spans(data, starts, ends, (lane,))[0]
+
+
+def named_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: tuple[int, ...] = (0, 1)) -> list[np.ndarray]:
+    """The names of each span of data in several lanes."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     size = ends - starts
-    out = mixed(size.astype(U) * _LANES[lane])
-    todo, at = np.arange(len(starts)), 0
-    while len(todo):
-        left = size[todo] - at
-        out[todo] = mixed(out[todo] * _STEP ^ (eight[starts[todo] + at] & _LOW_BYTES[np.minimum(left, 8)]) * _BASE)
+    names = [mixed(size.astype(U) * _LANES[lane]) for lane in lanes]
+    todo, at, left = slice(None), 0, size
+    while len(left):
+        part = (eight[starts[todo] + at] & _LOW_BYTES[np.minimum(left, 8)]) * _BASE
+        for x in names:
+            x[todo] = mixed(x[todo] * _STEP ^ part)
         at += 8
-        todo = todo[(left > 8) & (size[todo] <= LONG)]
+        todo = np.flatnonzero((size > at) & (size <= LONG)) if at == 8 else todo[size[todo] > at]
+        left = size[todo] - at
     for i in np.flatnonzero(size > LONG).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([lane])).digest(), "little")
-    return out
+        raw = data[starts[i] : ends[i]].tobytes()
+        for lane, x in zip(lanes, names, strict=True):
+            x[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=bytes([lane])).digest(), "little")
+    return names

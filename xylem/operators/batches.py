@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from xylem.functions.hashing import span_names
+from xylem.functions.hashing import named_spans
 from xylem.operators.scanner import _ATTRIBUTE, _CLOSE, _OPEN, _OPEN_END, _TARGET, BOM, END_ELEMENT, START_ELEMENT, TEXT, XML_NS, Event, XmlError, decode
 from xylem.options import XmlOptions
 
@@ -116,6 +116,14 @@ def _utf8(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ok
 
 
+def _filled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which spans hold more than blanks."""
+    size = ends - starts
+    total = np.r_[0, np.cumsum(size)]
+    seen = np.r_[0, np.cumsum(~_BLANK[data[np.arange(total[-1]) + np.repeat(starts - total[:-1], size)]])]
+    return seen[total[1:]] > seen[total[:-1]]
+
+
 class Tokens:
     """The tags of a batch's plain documents, in order, each with the text before it."""
 
@@ -139,7 +147,7 @@ class Tokens:
         some = plain[doc]
         at, doc, end = at[some], doc[some], to[some] + 1
         # distinct tags
-        names, checks = span_names(data, at, end), span_names(data, at, end, 1)
+        names, checks = named_spans(data, at, end)
         _, one, shape = np.unique(names, return_index=True, return_inverse=True)
         self.shapes = [shape_of(data[at[i] : end[i]].tobytes()) for i in one.tolist()]
         kind = self.per_shape(lambda s: s.kind, np.int8)[shape]
@@ -177,10 +185,9 @@ class Tokens:
         # the text before each tag
         text_at = np.r_[0, end[:-1]][: len(end)]
         text_at[first] = begin[doc[first]]
-        blank = np.r_[0, np.cumsum(~_BLANK[data], dtype=np.int64)]
-        filled = lambda a, b: blank[b] > blank[a]
-        plain[doc[(before == 0) & filled(text_at, at)]] = False
-        plain[doc[last[filled(end[last], offsets[doc[last] + 1])]]] = False
+        outside = np.flatnonzero((before == 0) & (at > text_at))
+        plain[doc[outside[_filled(data, text_at[outside], at[outside])]]] = False
+        plain[doc[last[_filled(data, end[last], offsets[doc[last] + 1])]]] = False
         has_text = (before > 0) & (at > text_at)
         amp = np.flatnonzero(data == 38)
         k = np.searchsorted(at, amp, "right")

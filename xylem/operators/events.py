@@ -47,7 +47,7 @@ EVENT_COLUMNS: dict[str, tuple[T.DataType, Callable[[Event, int | None, str | No
     "section": (T.StringType(), lambda e, ordinal, section: section),
 }
 #: Bytes of documents that are handled at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: What a function over a batch's tokens gives: documents that it handled, each row's document, and columns.
 Made = tuple[np.ndarray, np.ndarray, list[pa.Array]]
 
