@@ -784,3 +784,54 @@ def record_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lambda change: built(spark, sf_dir, "orders", "o_orderkey", f"concat('<D><MsgId>', {change}, '</MsgId></D>')")
     a, b = (records.payments(docs(x)).drop("ok", "error") for x in ("concat('M', o_orderkey)", "if(o_orderkey % 4 = 0, 'other', concat('M', o_orderkey))"))
     return a.exceptAll(b).select("doc_id", "message_id")
+
+
+# ---- options and checks
+
+
+@query("SELECT s_suppkey AS doc_id, s_suppkey % 3 < 2 AS ok, true AS given_ok FROM supplier")
+def options_of_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of a session hold where no options are given."""
+    session = spark.newSession()
+    session.conf.set("xylem.max_depth", "2")
+    docs = built(session, sf_dir, "supplier", "s_suppkey", "element_at(array('<a/>', '<a><b>x</b></a>', '<a><b><c>x</c></b></a>'), cast(s_suppkey % 3 AS int) + 1)")
+    return ev.xml_status(docs).select("doc_id", "ok").join(ev.xml_status(docs, XmlOptions()).select("doc_id", F.col("ok").alias("given_ok")), "doc_id")
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 3 = 0) AS refused FROM orders")
+def observed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener sees of a pass over documents."""
+    from xylem.sources import files
+
+    seen, observation = files.observed(ev.xml_status(built(spark, sf_dir, "orders", "o_orderkey", "if(o_orderkey % 3 = 0, '<a>', '<a/>')")), f"seen_{uuid.uuid4().hex}")
+    seen.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(observation.get["rows"], observation.get["refused"])], "rows long, refused long")
+
+
+_REFUSALS: dict[str, Callable[[], object]] = {
+    "a root bound twice": lambda: XmlContext(_CUSTOMER, _CUSTOMER),
+    "a root that is not bound": lambda: XmlContext(_CUSTOMER).require("", "other"),
+    "an adapter that is not known": lambda: XmlSchema("r", T.StructType([elem("x", adapter="none")])),
+    "a type without a lexical form": lambda: XmlSchema("r", T.StructType([elem("x", T.CalendarIntervalType())])),
+    "two texts of one element": lambda: XmlSchema("r", T.StructType([value("x"), value("y")])),
+    "formatted output": lambda: marshal(F.lit(None), _CUSTOMER, formatted=True),
+    "another encoding": lambda: marshal(F.lit(None), _CUSTOMER, encoding="latin1"),
+    "an unknown profile": lambda: XmlOptions(profile="other"),
+    "no depth": lambda: XmlOptions(max_depth=0),
+    "a known root": lambda: XmlContext(_CUSTOMER).require("", "customer"),
+    "options": lambda: XmlOptions(utf8="ON", profile="PAYMENTS", max_depth=3, capacity=100),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS what, {str(i < len(_REFUSALS) - 2).lower()} AS refused" for i, name in enumerate(_REFUSALS)))
+def refused_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemas, contexts, properties and options that are refused before any document is read, and some that are not."""
+
+    def refused(make: Callable[[], object]) -> bool:
+        try:
+            make()
+        except (ValueError, KeyError, TypeError):
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(make)) for name, make in _REFUSALS.items()], "what string, refused boolean")
