@@ -97,3 +97,24 @@ def test_chat_on_odd_rows(spark):
     assert all(map(legal, found.values()))
     assert "a<|im_end| >b" in found[1]
     assert chat.chat_format(df.where("false")).count() == 0
+
+
+def test_turns_of_one_number_or_none_are_cut(spark, monkeypatch):
+    """A conversation without turn numbers is cut by role and text, and costs what the whole sequence costs."""
+    rng = random.Random(9)
+    rows = [(1, None, rng.choice(["user", "assistant", "system", None, "tool"]), f"t{i}") for i in range(70)]
+    rows += [(2, 3, rng.choice(["user", "assistant"]), rng.choice(["same", "x", None])) for i in range(60)] + [(2, 4, "user", "end")]
+    rows += [(3, i, rng.choice(["user", "assistant"]), "a" * 200_000 if i == 2 else "b") for i in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "SEGMENT", 4)
+    found = chat.chat_format(df).collect()
+    assert len(found) == len(rows)
+    for conv in (1, 2, 3):
+        own = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.number)
+        assert [r.number for r in own] == list(range(len(own)))
+        order = [((r.turn is not None, r.turn or 0), (r.role is not None, r.role or "")) for r in own]
+        assert order == sorted(order)
+        assert sum(r.cost for r in own) == least(tuple(r.role for r in own))
+        text = "".join(r.piece for r in own)
+        opened = [x.split("\n")[0] for x in text.split("<|im_start|>")[1:]]
+        assert opened[-1] == "assistant" and all(x != y for x, y in zip(opened, opened[1:], strict=False))

@@ -5,12 +5,14 @@ first, then user and assistant turns alternate, and an assistant turn is last.
 Each given turn is kept, relabelled, or merged into the turn before, and empty
 turns may be inserted; every way has a cost, and dynamic programming over the
 automaton's states finds the least. A turn's effect is a small matrix in the
-(min, +) algebra, so a long conversation is split into segments by turn number
-whose matrices are multiplied: no conversation has to fit into one task.
+(min, +) algebra, so a long conversation is split into segments by turn number,
+and where many turns have one number or none by role and text as well, whose
+matrices are multiplied: no conversation has to fit into one task.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -104,18 +106,20 @@ def role_number(roles: pa.ChunkedArray) -> np.ndarray:
     return np.array([known.get((x or "").strip().lower(), NONE) for x in roles.to_pylist()], np.int64)
 
 
+#: What tells segments apart, in order; and the order of rows.
+_KEY = ["conv_id", "segment", "part_turn", "part_role", "part"]
+_ORDER = [*_KEY, "turn", "role", "hash", "text"]
+
+
 def _segments(table: pa.Table) -> list[tuple[int, int]]:
     """Ranges of rows of one conversation and segment, in a table sorted by them."""
-    keys = list(zip(table.column("conv_id").to_pylist(), table.column("segment").to_pylist(), strict=True))
+    keys = list(zip(*(table.column(k).to_pylist() for k in _KEY), strict=True))
     cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
     return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
 
 
-_ORDER = [("conv_id", "ascending"), ("segment", "ascending"), ("turn", "ascending"), ("role", "ascending"), ("text", "ascending")]
-
-
-def _sorted(table: pa.Table, keys: list[tuple[str, str]]) -> pa.Table:
-    return table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+def _sorted(table: pa.Table, keys: list[str]) -> pa.Table:
+    return table.take(pc.sort_indices(table, sort_keys=[(k, "ascending") for k in keys], null_placement="at_start"))
 
 
 def chat_format(turns: DataFrame, costs: Costs | None = None, start: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
@@ -124,34 +128,40 @@ def chat_format(turns: DataFrame, costs: Costs | None = None, start: str = "<|im
     Returns one row for each given row: conv_id, turn, number (its place in order), role, out_role, action (keep, relabel,
     merge, or merge+relabel), inserted (the empty turns put before it), inserted_after (those after the conversation's last
     row), cost and piece: what it adds to the rendered conversation, so that a conversation's pieces in order, joined, are
-    its text (see ``rendered``). Turns are ordered by turn, then role and text, nulls first. Unknown and null roles take
+    its text (see ``rendered``). Turns are ordered by turn, then role, nulls first, then by their texts' hashes. Unknown and null roles take
     the label that costs least; null texts are empty; markers in a text get a space, so they don't end a turn; repeated
     rows are turns of their own; null conversations are one; a very long text is a turn like others; other columns are
     ignored, whatever their names; an empty table stays empty."""
     costs = costs or Costs()
     table, ways = costs.tables
     closing = np.array([costs.insert * len(costs.ending(s)) for s in range(4)], np.int64)
-    segment = F.floor(F.col("turn") / SEGMENT)
-    rows = turns.select("conv_id", "turn", "role", "text", segment.alias("segment"))
+    rows = turns.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / SEGMENT).alias("segment"), F.xxhash64("text").alias("hash"))
     buckets = max(8, turns.count() // ROWS)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id", "segment"), F.lit(buckets)))
+    # segments of many more rows than turn numbers are cut by turn, role and hash
+    full = rows.groupBy("conv_id", "segment").agg(F.ceil(F.count("*") / SEGMENT).cast("int").alias("parts")).where(F.col("parts") > 4)
+    a, b = rows.alias("a"), full.alias("b")
+    joined = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("a.segment").eqNullSafe(F.col("b.segment")), "left")
+    cut = F.col("parts").isNotNull()
+    share = (F.col("hash").cast("double") + 2.0**63) / 2.0**64
+    parts = {"part_turn": F.when(cut, F.col("turn")), "part_role": F.when(cut, F.col("role")), "part": F.when(cut, F.least(F.floor(share * F.col("parts")), F.col("parts") - 1).cast("int"))}
+    rows = joined.select("a.*", *(c.alias(n) for n, c in parts.items())).withColumn("bucket", F.pmod(F.xxhash64(*_KEY), F.lit(buckets)))
     types = dict(rows.dtypes)
-    key = f"conv_id {types['conv_id']}, segment {types['segment']}"
+    key = ", ".join(f"{k} {types[k]}" for k in _KEY)
 
     def multiply(part: pa.Table) -> pa.Table:
-        part = _sorted(part.select(["conv_id", "segment", "turn", "role", "text"]), _ORDER)
+        part = _sorted(part.select([*_ORDER]), _ORDER)
         spans, role, out = _segments(part), role_number(part.column("role")), []
         for a, b in spans:
             m = _start()
             for r in role[a:b].tolist():
                 m = _times(m, table[r])
             out.append(m.ravel().tolist())
-        first = part.select(["conv_id", "segment"]).take([a for a, _ in spans])
+        first = part.select(_KEY).take([a for a, _ in spans])
         return first.append_column("matrix", pa.array(out, pa.list_(pa.int64()))).append_column("rows", pa.array([b - a for a, b in spans], pa.int64()))
 
     def route(part: pa.Table) -> pa.Table:
         """The states in which each segment of whole conversations begins and ends, and how many rows come before it."""
-        part = _sorted(part.select(["conv_id", "segment", "matrix", "rows"]), _ORDER[:2])
+        part = _sorted(part.select([*_KEY, "matrix", "rows"]), _KEY)
         conv, n = part.column("conv_id").to_pylist(), part.column("rows").to_numpy()
         matrices = [np.array(m).reshape(4, 4) for m in part.column("matrix").to_pylist()]
         cuts = [0, *(i for i in range(1, len(conv)) if conv[i] != conv[i - 1]), len(conv)]
@@ -162,7 +172,7 @@ def chat_format(turns: DataFrame, costs: Costs | None = None, start: str = "<|im
             for i in range(a, b):
                 states[i] = (path[i - a - 1] if i > a else NONE, path[i - a], int(before[i - a]), i == b - 1)
         columns = list(zip(*states, strict=True)) or [[]] * 4
-        return pa.table([part.column("conv_id"), part.column("segment"), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True))], names=["conv_id", "segment", "first", "final", "before", "is_end"])
+        return pa.table([*(part.column(k) for k in _KEY), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True))], names=[*_KEY, "first", "final", "before", "is_end"])
 
     def render(part: pa.Table) -> pa.Table:
         part = _sorted(part, _ORDER)
@@ -194,8 +204,8 @@ def chat_format(turns: DataFrame, costs: Costs | None = None, start: str = "<|im
 
     parts = rows.groupBy("bucket").applyInArrow(multiply, f"{key}, matrix array<long>, rows long")
     routed = parts.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets))).groupBy("bucket").applyInArrow(route, f"{key}, first int, final int, before long, is_end boolean")
-    met = rows.alias("r").join(routed.alias("s"), F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")) & F.col("r.segment").eqNullSafe(F.col("s.segment")))
-    met = met.select("r.conv_id", "r.turn", "r.role", "r.text", "r.segment", "r.bucket", "first", "final", "before", "is_end")
+    same = functools.reduce(lambda x, y: x & y, (F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in _KEY))
+    met = rows.alias("r").join(routed.alias("s"), same).select("r.*", "first", "final", "before", "is_end")
     return met.groupBy("bucket").applyInArrow(render, f"conv_id {types['conv_id']}, turn {types['turn']}, number long, role string, out_role string, action string, inserted array<string>, inserted_after array<string>, cost long, piece string")
 
 
