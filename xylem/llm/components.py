@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.shared import checkpointed
+from xylem.llm.shared import checkpointed, dropped
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,17 +16,17 @@ def components(links: DataFrame) -> DataFrame:
     are pre-aggregated by each task and its joins split by adaptive execution. Null nodes and self-links are ignored."""
     pairs = links.select("a", "b").where("a <> b")
     edges = checkpointed(pairs.union(pairs.select("b", "a")).toDF("u", "v").distinct())
-    parent = edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("f")).withColumnRenamed("u", "node")
+    parent = checkpointed(edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("f")).withColumnRenamed("u", "node"))
     while True:
-        parent = checkpointed(parent)
         up = parent.select(F.col("node").alias("f"), F.col("f").alias("g"))
         grand = parent.join(up, "f").select("node", "f", "g")
         seen = edges.join(grand.select(F.col("node").alias("v"), "g"), "v").groupBy("u").agg(F.min("g").alias("least")).withColumnRenamed("u", "node")
         known = grand.join(seen, "node").select("node", "f", F.least("g", "least").alias("least"))
         moves = known.select("node", "least").union(known.select(F.col("f").alias("node"), "least"))
         new = moves.groupBy("node").agg(F.min("least").alias("new"))
-        new = checkpointed(grand.join(new, "node").select("node", "f", F.least("g", "new").alias("new")))
-        changed = new.where("f <> new").limit(1).count()
-        parent = new.select("node", F.col("new").alias("f"))
-        if not changed:
-            return parent.select("node", F.col("f").alias("component"))
+        new = checkpointed(grand.join(new, "node").select("node", F.least("g", "new").alias("f"), (F.col("f") != F.least("g", "new")).alias("changed")))
+        dropped(parent)
+        parent = new
+        if not new.where("changed").limit(1).count():
+            dropped(edges)
+            return new.select("node", F.col("f").alias("component"))

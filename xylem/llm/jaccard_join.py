@@ -15,6 +15,9 @@ hold several components are clustered over these columns and dealt to blocks of
 whole rows; blocks of a cluster whose sizes may fit are multiplied, all overlaps
 counted, and only links between components kept. No link between components is
 lost, so the components are those of the full product.
+
+A column of more rows than ``COLUMN`` is dealt to several blocks; a few rows of
+each meet in a product of their own, and all its rows count as possibly similar.
 """
 
 from __future__ import annotations
@@ -25,15 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from xylem.llm import blocks
 from xylem.llm.components import components
-from xylem.llm.shared import checkpointed
+from xylem.llm.shared import checkpointed, dropped
 from xylem.llm.words import LOWER, U, mixed, slices, text_bytes, window_names, word_bounds, word_names
 
-#: Counters of the table that orders n-grams: 2**BITS, whatever the corpus.
-BITS = 18
-_SET = U(0xC2B2AE3D27D4EB4F)
+#: Counters of the table that orders n-grams: 2**BITS at least and 2**MOST_BITS at most; rows of a column that a block
+#: holds, about; rows by which a part of a column meets the others.
+BITS, MOST_BITS, COLUMN, BRIDGES = 18, 22, 20_000, 8
+#: Bytes of text that are read at a time; shares in which a column's rows meet what its components tell.
+PART, SALTS = 1 << 20, 32
+_SET, _CHECK = U(0xC2B2AE3D27D4EB4F), U(0x27D4EB2F165667C5)
 
 
 def ngram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -54,29 +61,42 @@ def ngram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
-def set_name(grams: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
+def set_names(grams: np.ndarray) -> tuple[int, int]:
+    """Two independent signed 64-bit names of a set."""
     if not len(grams):
-        return 0
-    return int(mixed(mixed(grams ^ _SET).sum(keepdims=True) + np.array([len(grams)], U) * _SET).astype(np.int64)[0])
+        return 0, 0
+    size = np.array([len(grams)], U)
+    return tuple(int(mixed(mixed(grams ^ seed).sum(keepdims=True) + size * seed).astype(np.int64)[0]) for seed in (_SET, _CHECK))
+
+
+def node_of(grams: np.ndarray, shared: frozenset[int]) -> int:
+    """The number of a set: its first name, or both mixed where two sets share the first."""
+    name, check = set_names(grams)
+    return other_name(name, check) if name in shared else name
+
+
+def other_name(name: int, check: int) -> int:
+    return int(mixed(np.array([(name ^ check << 1) & (1 << 64) - 1], U)).astype(np.int64)[0])
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams >> U(64 - BITS)).astype(np.int64)
+def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> U(64 - bits)).astype(np.int64)
 
 
-def frequency_table(texts: DataFrame, n: int) -> np.ndarray:
-    """How many n-grams of the corpus fall on each of 2**BITS counters, as a rank from rare to frequent (log scale). All
-    rows count; the driver holds 2**BITS numbers."""
+def frequency_table(texts: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams of the corpus fall on each of a fixed number of counters, as a rank from rare to frequent (log
+    scale); and to how many parts a column of the counter is dealt. All rows count; the driver holds the counters."""
+    bits = int(np.clip((total >> 11).bit_length(), BITS, MOST_BITS))
     part = 1 << 12
+    salts = max(1, total >> 31)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PART):
                 found = list(ngram_sets(piece.column("text"), n))
                 if found:
-                    total += np.bincount(_slot(np.concatenate(found)), minlength=1 << BITS)
+                    total += np.bincount(_slot(np.concatenate(found), bits), minlength=1 << bits)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total) // part), pa.int32()), pa.array([total[i : i + part].tobytes() for i in range(0, len(total), part)], pa.binary())], names=["part", "counts"])
 
@@ -84,31 +104,36 @@ def frequency_table(texts: DataFrame, n: int) -> np.ndarray:
         total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
         return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    total = np.zeros(1 << BITS, np.int64)
-    for row in texts.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
-        total[row["part"] * part : (row["part"] + 1) * part] = np.frombuffer(row["counts"], np.int64)
-    return np.minimum(np.floor(4 * np.log2(total + 1)), 255).astype(np.uint8)
+    # in two steps, so that no group grows with the number of tasks
+    summed = texts.select("text").mapInArrow(count, "part int, counts binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("part", "salt").applyInArrow(lambda t: add(t), "part int, counts binary")
+    counts = np.zeros(1 << bits, np.int64)
+    for row in summed.groupBy("part").applyInArrow(lambda t: add(t), "part int, counts binary").collect():
+        counts[row["part"] * part : (row["part"] + 1) * part] = np.frombuffer(row["counts"], np.int64)
+    parts = -(-counts // max(COLUMN, int(4 * counts.mean())))
+    return np.minimum(np.floor(4 * np.log2(counts + 1)), 255).astype(np.uint8), np.clip(parts, 1, 1 << 15).astype(np.uint16)
 
 
 def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _incidence(texts: DataFrame, n: int, percent: int, rank: np.ndarray, buckets: int) -> DataFrame:
+def _incidence(texts: DataFrame, n: int, percent: int, tables, shared: frozenset[int], buckets: int) -> DataFrame:
     """Blocks of columns: for each slice of texts and bucket, the names of n-grams, and for each the row (a set) and how
     many n-grams the row has, and has from this one on. A slice names a set once, however many copies it holds."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, parts = tables.value
+        bits = len(rank).bit_length() - 1
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 2 * PART):
                 seen: set[int] = set()
                 grams, owner, size, left = [], [], [], []
                 for found in ngram_sets(piece.column("text"), n):
-                    if not len(found) or (name := set_name(found)) in seen:
+                    if not len(found) or (name := node_of(found, shared)) in seen:
                         continue
                     seen.add(name)
                     k = prefix_length(len(found), percent)
-                    ranks = rank[_slot(found)]
+                    ranks = rank[_slot(found, bits)]
                     order = np.argsort(ranks, kind="stable")[:k]  # equally frequent ones by name
                     grams.append(found[order])
                     owner.append(np.full(k, name, np.int64))
@@ -117,7 +142,8 @@ def _incidence(texts: DataFrame, n: int, percent: int, rank: np.ndarray, buckets
                 if not grams:
                     continue
                 grams, owner, size, left = (np.concatenate(x) for x in (grams, owner, size, left))
-                bucket = (grams % U(buckets)).astype(np.int32)
+                of = mixed(owner.astype(U)) % parts[_slot(grams, bits)].astype(U)
+                bucket = (np.where(of > 0, mixed(grams + of), grams) % U(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 grams, owner, size, left, bucket = (x[order] for x in (grams, owner, size, left, bucket))
                 cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)].tolist()
@@ -132,18 +158,21 @@ def _ceil_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a.astype(np.int64) + b) // (100 + percent))
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """A bucket's entries by column, size and row, each once, without columns of a single row."""
+def _columns(table: pa.Table, parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A bucket's entries by column, size and row, each once, without whole columns of a single row; and which are of a
+    column that is dealt to several buckets."""
     columns = [np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("grams", U), ("owner", np.int64), ("size", np.int32), ("left", np.int32))]
     order = np.argsort(columns[0], kind="stable")
     g = columns[0][order]
     same = g[1:] == g[:-1]
-    order = order[np.r_[False, same] | np.r_[same, False]]
+    dealt = parts[_slot(g, len(parts).bit_length() - 1)] > 1
+    keep = np.r_[False, same] | np.r_[same, False] | dealt
+    order, dealt = order[keep], dealt[keep]
     g, o, s, l = (x[order] for x in columns)
     order = np.lexsort((o, s, g))
-    g, o, s, l = g[order], o[order], s[order], l[order]
+    g, o, s, l, dealt = g[order], o[order], s[order], l[order], dealt[order]
     keep = np.r_[True, (g[1:] != g[:-1]) | (o[1:] != o[:-1])][: len(g)]
-    return g[keep], o[keep], s[keep], l[keep]
+    return g[keep], o[keep], s[keep], l[keep], dealt[keep]
 
 
 def _able(s, l, i, j, percent) -> np.ndarray:
@@ -160,33 +189,57 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return low[at], high[at], np.diff(np.r_[at, len(low)])
 
 
-PRODUCT = "a long, b long, overlap long, gram long, size int, left int"
+PRODUCT = "a long, b long, gram long, size int, left int, bridge boolean"
 
 
-def _product(percent: int):
+def _chain(g: np.ndarray, o: np.ndarray, s: np.ndarray, l: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each row with the next of its column, if it can be similar to it."""
+    i = np.flatnonzero(g[1:] == g[:-1])
+    i = i[_able(s, l, i, i + 1, percent)]
+    a, b, _ = _pairs(o[i], o[i + 1])
+    return a, b
+
+
+def _product(percent: int, tables):
     def multiply(table: pa.Table) -> pa.Table:
-        """Pairs (a, b, overlap) of each row with the next of its column that it can be similar to; and the entries (gram,
-        a, size, left) of columns in which a row can be similar to one farther on."""
-        g, o, s, l = _columns(table)
+        """Pairs (a, b) of each row with the next of its column that it can be similar to; the entries (gram, a, size, left) of
+        columns in which a row can be similar to one farther on; and, of columns dealt to several buckets, all entries, with
+        a few of them as bridges to the other parts."""
+        g, o, s, l, dealt = _columns(table, tables.value[1])
         n = len(g)
-        i = np.flatnonzero(g[1:] == g[:-1])
-        i = i[_able(s, l, i, i + 1, percent)]
-        a, b, overlap = _pairs(o[i], o[i + 1])
-        key = (np.cumsum(np.r_[True, g[1:] != g[:-1]][:n]) << 32) + s
+        a, b = _chain(g, o, s, l, percent)
+        column = np.cumsum(np.r_[True, g[1:] != g[:-1]][:n])
+        key = (column << 32) + s
         most = np.minimum(100 * s.astype(np.int64) // percent, (100 + percent) * l.astype(np.int64) // percent - s)
         last = np.searchsorted(key, key - s + np.maximum(most, 0), "right")
         reach = np.flatnonzero(last > np.arange(n) + 2)
         need = np.zeros(n + 1, np.int64)
         need[reach] += 1
         np.add.at(need, last[reach], -1)
-        at = np.flatnonzero(np.cumsum(need[:-1]) > 0)
+        at = np.flatnonzero((np.cumsum(need[:-1]) > 0) | dealt)
+        begin = np.searchsorted(column, column, "left")
+        size = np.searchsorted(column, column, "right") - begin
+        place = np.arange(n) - begin
+        step = np.maximum(1, size // BRIDGES)
+        bridge = dealt & ((place % step == 0) | (place == size - 1))
         none, zero = pa.nulls(len(at), pa.int64()), pa.nulls(len(a), pa.int64())
         join = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), pa.array(y, kind)])
-        return pa.table({"a": join(a, o[at], pa.int64()), "b": join(b, none, pa.int64()), "overlap": join(overlap, none, pa.int64()), "gram": join(zero, g[at].astype(np.int64), pa.int64()), "size": join(zero.cast(pa.int32()), s[at], pa.int32()), "left": join(zero.cast(pa.int32()), l[at], pa.int32())})
+        return pa.table({"a": join(a, o[at], pa.int64()), "b": join(b, none, pa.int64()), "gram": join(zero, g[at].astype(np.int64), pa.int64()), "size": join(zero.cast(pa.int32()), s[at], pa.int32()), "left": join(zero.cast(pa.int32()), l[at], pa.int32()), "bridge": join(np.zeros(len(a), bool), bridge[at], pa.bool_())})
 
     return multiply
 
 
+def _bridged(percent: int):
+    def meet(table: pa.Table) -> pa.Table:
+        """Pairs of the rows by which the parts of a column meet."""
+        g, o, s, l = (table.column(c).to_numpy() for c in ("gram", "a", "size", "left"))
+        order = np.lexsort((o, s, g))
+        a, b = _chain(g[order], o[order], s[order], l[order], percent)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return meet
+
+
 def _block(table: pa.Table) -> pa.Table:
     """A block of rows of the matrix as one row: names, components, sizes and all n-grams in a row."""
     owner, component, size = (table.column(c).to_numpy() for c in ("owner", "component", "size"))
@@ -231,19 +284,17 @@ def _block_links(rows_a: bytes, grams_a: bytes, rows_b: bytes, grams_b: bytes, p
 def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int, percent: int, most: int = 150_000) -> DataFrame:
     """All links between components that open_rows (cluster, owner, component, size) leave possible. A cluster's rows are
     dealt to blocks by class of size, of about ``most`` n-grams each; blocks of one class or of neighbours are multiplied."""
-    held = open_rows.join(sets.select(F.col("name").alias("owner"), "doc_id"), "owner")
+    held = open_rows.join(sets.select(F.col("node").alias("owner"), "place"), "owner")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = list(ngram_sets(part.column("text"), n))
-                own = pa.array([set_name(x) == y for x, y in zip(found, part.column("owner").to_pylist(), strict=True)], pa.bool_())
-                full = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "owner", "component", "size")), pa.array([x.tobytes() for x in found], pa.binary())], names=["cluster", "owner", "component", "size", "grams"])
-                yield full.filter(own)  # repeated ids bring texts of other sets
+            for part in slices(batch, "text", PART):
+                grams = pa.array([x.tobytes() for x in ngram_sets(part.column("text"), n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "owner", "component", "size")), grams], names=["cluster", "owner", "component", "size", "grams"])
 
-    filled = held.join(texts, "doc_id").select("cluster", "owner", "component", "size", "text").mapInArrow(fill, "cluster long, owner long, component long, size int, grams binary")
+    placed = held.join(blocks.among(texts, held.select("place"), "place"), "place").select("cluster", "owner", "component", "size", "text").mapInArrow(fill, "cluster long, owner long, component long, size int, grams binary")
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) * 1.001)).cast("int")
-    placed = filled.dropDuplicates(["owner"]).withColumn("band", band)
+    placed = placed.withColumn("band", band)
     parts = open_rows.withColumn("band", band).groupBy("cluster", "band").agg(F.ceil(F.sum("size") / most).cast("long").alias("parts"))
     dealt = placed.join(parts, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("owner"), F.col("parts"))).drop("parts")
     made = checkpointed(dealt.groupBy("cluster", "band", "part").applyInArrow(_block, BLOCK))
@@ -265,28 +316,30 @@ def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int,
     return pairs.mapInArrow(multiply, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, holder: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose whole texts have the similarity. holder: (name, doc_id) of one document for each set."""
+def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets whose whole texts have the similarity. sets: (node, place) of one row of texts for each. Only
+    texts of sets that some pair has are exchanged."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_b", 1 << 22):
+            for part in slices(batch, "text_b", PART):
                 keep, last, left = np.zeros(part.num_rows, bool), None, None
-                a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
+                a = part.column("a").to_numpy()
                 for i, y in enumerate(ngram_sets(part.column("text_b"), n)):
                     if last is None or a[i] != last:
                         last, left = a[i], next(ngram_sets(part.column("text_a").slice(i, 1), n))
                     both = int(blocks.member(y, left).sum())
-                    # repeated ids bring texts of other sets
-                    keep[i] = 100 * both >= percent * (len(left) + len(y) - both) and set_name(left) == a[i] and set_name(y) == b[i]
-                    if set_name(left) != a[i]:
-                        last = None
+                    keep[i] = 100 * both >= percent * (len(left) + len(y) - both)
                 yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in (part.column("a"), part.column("b"))], names=["a", "b"])
 
-    held = pairs.join(holder.select(F.col("name").alias("a"), F.col("doc_id").alias("doc_a")), "a").join(holder.select(F.col("name").alias("b"), F.col("doc_id").alias("doc_b")), "b")
-    left = texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
-    return held.join(left, "doc_a").join(right, "doc_b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("place").alias(f"place_{x}"))
+    held = checkpointed(pairs.join(side("a"), "a").join(side("b"), "b"))
+    some = blocks.among(texts, held.select(F.col("place_a").alias("place")).union(held.select("place_b")).distinct(), "place")
+    text = lambda x: some.select(F.col("place").alias(f"place_{x}"), F.col("text").alias(f"text_{x}"))
+    met = held.join(text("a"), "place_a").join(text("b"), "place_b")
+    links = checkpointed(met.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
+    dropped(held)
+    return links
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -294,37 +347,54 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Returns for each row doc_id, n_shingles (the size of its set) and component_id (the smallest doc_id reachable by links,
     its own included). Words are lower-cased in A-Z; a text of fewer words is its whole sequence as one n-gram; null and
-    empty texts and those without words have the empty set and link with nothing. Equal sets are one row of the matrix,
-    named by 64 bits; repeated rows link with each other; rows without an id keep a null component, and other columns of
-    docs are ignored. An empty table gives an empty result."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = blocks.counts(blocks.text_size(texts))[1]
+    empty texts and those without words have the empty set and link with nothing; very long texts are rows like others.
+    Equal sets are one row of the matrix, told apart by 128 bits; repeated rows link with each other; rows without an id
+    keep a null component and link nothing; other columns of docs are ignored. An empty table gives an empty result. docs
+    is read more than once and has to give the same rows each time, as a table does."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.monotonically_increasing_id())
+    total = blocks.text_size(texts)
+    buckets = blocks.counts(total)[1]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = [(len(x), set_name(x)) for x in ngram_sets(part.column("text"), n)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["doc_id", "n_shingles", "name"])
-
-    named = checkpointed(texts.mapInArrow(name, f"doc_id {dict(texts.dtypes)['doc_id']}, n_shingles long, name long"))
-    sets = checkpointed(named.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id")))
-    rank = frequency_table(texts, n)
-    entries = _incidence(texts.where("doc_id is not null"), n, percent, rank, buckets)
-    product = checkpointed(entries.groupBy("bucket").applyInArrow(_product(percent), PRODUCT))
-    pairs = product.where("b is not null").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    links = checkpointed(_verified(pairs, texts, sets, n, percent))
+            for part in slices(batch, "text", PART):
+                found = [(len(x), *set_names(x)) for x in ngram_sets(part.column("text"), n)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("place"), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))], names=["doc_id", "place", "n_shingles", "name", "check"])
+
+    kinds = [docs.schema["doc_id"].dataType, *[T.LongType()] * 4]
+    named = checkpointed(texts.mapInArrow(name, T.StructType([T.StructField(x, t) for x, t in zip(("doc_id", "place", "n_shingles", "name", "check"), kinds, strict=True)])))
+    held = named.where("n_shingles > 0 and doc_id is not null").groupBy("name", "check").agg(F.min(F.struct("doc_id", "place")).alias("least"))
+    sets = checkpointed(held.select("name", "check", F.col("least.doc_id").alias("doc_id"), F.col("least.place").alias("place")))
+    # sets that share a name, of 2**64, are told apart by the other; there are hardly ever any
+    shared = frozenset(r["name"] for r in sets.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").limit(1_000_001).collect())
+    if len(shared) > 1_000_000:
+        raise ValueError("more sets than names of 64 bits can tell apart")
+    if shared:
+        numbers = F.udf(lambda a, b: other_name(a, b) if a in shared else a, "long")
+        sets = checkpointed(sets.withColumn("node", numbers("name", "check")))
+    else:
+        sets = sets.withColumn("node", F.col("name"))
+    tables = texts.sparkSession.sparkContext.broadcast(frequency_table(texts, n, total))
+    entries = _incidence(texts.where("doc_id is not null"), n, percent, tables, shared, buckets)
+    product = checkpointed(entries.groupBy("bucket").applyInArrow(_product(percent, tables), PRODUCT))
+    bridges = product.where("bridge").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInArrow(_bridged(percent), "a long, b long")
+    links = _verified(product.where("b is not null").select("a", "b").union(bridges).distinct(), texts, sets, n, percent)
     first = components(links)
     # what may still link: rows of columns that hold several components, clustered over these columns
     entry = product.where("gram is not null").select("gram", F.col("a").alias("owner"), "size").join(first.withColumnRenamed("node", "owner"), "owner", "left")
     entry = entry.withColumn("component", F.coalesce("component", "owner"))
     mixed_columns = entry.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("gram", F.col("least").alias("hub"))
-    open_rows = checkpointed(entry.join(mixed_columns, "gram").select("owner", "component", "size", "hub").distinct())
+    # a column of many rows is dealt out by its rows as well
+    salted = mixed_columns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_rows = checkpointed(entry.withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"]).select("owner", "component", "size", "hub").distinct())
+    dropped(product)
     clusters = components(open_rows.select(F.col("component").alias("a"), F.col("hub").alias("b")))
-    open_rows = checkpointed(open_rows.select("owner", "component", "size").distinct().join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"))
-    more = checkpointed(_open_links(open_rows, texts, sets, n, percent))
+    clustered = checkpointed(open_rows.select("owner", "component", "size").distinct().join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"))
+    dropped(open_rows)
+    more = checkpointed(_open_links(clustered, texts, sets, n, percent))
     groups = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    member = sets.join(groups.withColumnRenamed("node", "name"), "name", "left").select("name", "doc_id", F.coalesce("component", "name").alias("group"))
+    member = sets.join(groups, "node", "left").select("name", "check", "doc_id", F.coalesce("component", "node").alias("group"))
     smallest = member.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    classes = member.join(smallest, "group").select("name", "component_id")
+    classes = member.join(smallest, "group").select("name", "check", "component_id")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return named.join(classes, "name", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return named.join(classes, ["name", "check"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
