@@ -90,6 +90,10 @@ def test_files_and_registration(spark, tmp_path):
     found = files.read_documents(spark, str(tmp_path), glob="*.xml")
     assert sorted(r.ok for r in ev.xml_status(found).collect()) == [False, True]
     assert files.read_text_documents(spark, str(tmp_path)).count() == 2
+    stream = files.stream_documents(spark, str(tmp_path), glob="*.xml", per_trigger=1)
+    streams.run_available(stream, lambda df: ev.xml_status(df, key="path"), "files_status", str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(r.ok for r in spark.table("files_status").collect()) == [False, True]
+    assert found.select(guards.utf8_text(F.col("content")).alias("t"), guards.too_big(F.col("content"), 3).alias("b")).orderBy("t").first() == ("<a>", False)
     streams.register(spark)
     found.createOrReplaceTempView("files")
     assert spark.sql("SELECT count_if(xml_ok(content)) FROM files").first()[0] == 1

@@ -50,7 +50,7 @@ class Shape:
     def space_prefix(self) -> str:
         return self.name.partition(":")[0] if ":" in self.name else ""
 
-    @property
+    @cached_property
     def declares(self) -> dict[str, str]:
         return {k[6:]: v for k, v in self.attrs if k == "xmlns" or k.startswith("xmlns:")}
 

@@ -62,6 +62,8 @@ def keyed(docs: DataFrame, key: str, content: str, *more: str) -> DataFrame:
 
 def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch of (key, content, ...) in slices of about BATCH_BYTES."""
+    if batch.column(1).type != pa.binary():
+        batch = batch.set_column(1, batch.schema.names[1], batch.column(1).cast(pa.binary()))
     ends = np.frombuffer(batch.column(1).buffers()[1], np.int32, batch.num_rows + 1, batch.column(1).offset * 4).astype(np.int64)
     at = 0
     while at < batch.num_rows:
