@@ -790,7 +790,7 @@ def record_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT s_suppkey AS doc_id, s_suppkey % 3 < 2 AS ok, true AS given_ok FROM supplier")
-def options_of_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+def session_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of a session hold where no options are given."""
     session = spark.newSession()
     session.conf.set("xylem.max_depth", "2")
