@@ -381,7 +381,7 @@ def test_more_empty_tables(spark, odd):
 
 def test_stages_keep_all_columns(spark):
     say = lambda x: " ".join(f"{x}{i}" for i in range(60))
-    df = spark.createDataFrame([(i, say(x), None, "s", 3, 7.5, "mine", "dot", "kept", 4) for i, x in enumerate("aabc")], "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, `a.b` string, kept string, place int")
+    df = spark.createDataFrame([(i, say(x), "en" if x == "c" else None, "s", 3, 7.5, "mine", "dot", "kept", 4) for i, x in enumerate("aabc")], "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, `a.b` string, kept string, place int")
     docs = df
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.checkpointed(stage(spark, docs, SF))

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xylem.llm.blocks import column, text_size
-from xylem.llm.shared import checkpointed, dropped
+from xylem.llm.blocks import text_size
+from xylem.llm.shared import checkpointed, dropped, mapped
 from xylem.llm.words import U, distinct_counts, mixed, slices, text_bytes, window_names
 
 #: Bytes in an n-gram; slots in the table; slots of an n-gram; n-grams that a task holds before it passes them on.
@@ -203,12 +203,14 @@ def language_id(docs: DataFrame, model: LanguageFilter, names: tuple[str, str] =
     table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in names}]
+    text = next(f"c{i}" for i, f in enumerate(kept) if f.name.lower() == "text")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
-            for part in slices(batch, "text", PART):
-                lang, score = shared.value.decide(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, *names])
+            for part in slices(batch, text, PART):
+                lang, score = shared.value.decide(part.column(text))
+                yield [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
 
-    kept = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in names}]
     made = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType()), strict=True)]
-    return docs.select(*(column(f.name) for f in kept)).mapInArrow(decide, T.StructType([*kept, *made]))
+    return mapped(docs, kept, made, decide)

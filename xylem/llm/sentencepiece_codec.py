@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from xylem.llm.shared import mapped
 from xylem.llm.wordpool import WordPool
 from xylem.llm.words import slices, text_bytes
 
@@ -273,8 +274,9 @@ def _without(docs: DataFrame, *names: str) -> list[T.StructField]:
     return [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in names}]
 
 
-def _columns(fields: list[T.StructField]) -> list[str]:
-    return ["`" + f.name.replace("`", "``") + "`" for f in fields]
+def _place(fields: list[T.StructField], name: str) -> str:
+    """What a column is called while it is mapped."""
+    return next(f"c{i}" for i, f in enumerate(fields) if f.name.lower() == name.lower())
 
 
 def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -288,16 +290,18 @@ def sentencepiece_encode(docs: DataFrame, model: str, text: str = "text", ids: s
 def sentencepiece_codec(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """docs with the ids of a text column and the text that the ids give, both in one pass over the rows; rows and other
     columns as ``sentencepiece_encode`` and ``sentencepiece_decode`` state."""
-    kept = _without(docs, ids, *[decoded] * bool(decoded))
-    made = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    kinds = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
+    kept, made = _without(docs, *kinds), [T.StructField(*x) for x in kinds.items()]
 
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    source = _place(kept, text)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
-            for part in slices(batch, text, PART):
-                lists = _encoded(model, part.column(text))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, *([_decoded(model, lists)] if decoded else [])], names=[*part.schema.names, *(f.name for f in made)])
+            for part in slices(batch, source, PART):
+                lists = _encoded(model, part.column(source))
+                yield [*part.columns, lists, *([_decoded(model, lists)] if decoded else [])]
 
-    return docs.select(*_columns(kept)).mapInArrow(both, T.StructType([*kept, *made]))
+    return mapped(docs, kept, made, both)
 
 
 def sentencepiece_decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -306,10 +310,12 @@ def sentencepiece_decode(docs: DataFrame, model: str, ids: str = "ids", text: st
     other columns stay as they are; an empty table stays empty."""
     kept = _without(docs, text)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    source = _place(kept, ids)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(model, part.column(ids))], names=[*part.schema.names, text])
+                yield [*part.columns, _decoded(model, part.column(source))]
 
-    return docs.select(*_columns(kept)).mapInArrow(decode, T.StructType([*kept, T.StructField(text, T.StringType())]))
+    return mapped(docs, kept, [T.StructField(text, T.StringType())], decode)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -54,6 +56,19 @@ def free(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def mapped(docs: DataFrame, fields: list[T.StructField], made: list[T.StructField], of: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]]) -> DataFrame:
+    """The columns of docs that ``fields`` names, and those that ``of`` adds: it gets batches of the former and gives both. Names
+    may hold any character: Spark's own call takes dots apart, so columns go by number meanwhile."""
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable, f.metadata) for i, f in enumerate([*fields, *made])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in of(batches):
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    numbered = docs.select(*(F.col("`" + f.name.replace("`", "``") + "`").alias(f"c{i}") for i, f in enumerate(fields)))
+    return numbered.mapInArrow(run, schema).toDF(*(f.name for f in [*fields, *made]))
+
+
 def let(value: Column, of: Callable[[Column], Column]) -> Column:
     """of(value), with the value evaluated once, also where of() has it in a loop."""
     return F.element_at(F.transform(F.array(value), of), 1)
