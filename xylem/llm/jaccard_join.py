@@ -281,23 +281,35 @@ def _block_links(rows_a: bytes, grams_a: bytes, rows_b: bytes, grams_b: bytes, p
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
-def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int, percent: int, most: int = 150_000) -> DataFrame:
+def _dealt(open_rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """open_rows with band, a class of size, and part: blocks of about ``most`` n-grams. A component of that many n-grams has
+    blocks of its own, so that pairs of its blocks need no product; smaller ones share blocks, each whole in one."""
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) * 1.001)).cast("int")
+    rows = open_rows.withColumn("band", band).withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int"))
+    grams = rows.groupBy("cluster", "band", "component").agg(F.sum("size").alias("grams"))
+    shared = grams.where(F.col("grams") < most).groupBy("cluster", "band").agg(F.ceil(F.sum("grams") / most).cast("long").alias("parts"))
+    # a component of many rows is dealt out by its rows as well
+    known = grams.join(shared, ["cluster", "band"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.xxhash64("component", F.pmod(F.xxhash64("owner"), F.ceil(F.col("grams") / most).cast("long")))
+    part = F.when(F.col("grams") >= most, own).otherwise(F.pmod(F.xxhash64("component"), F.col("parts")))
+    return rows.join(known, ["cluster", "band", "component", "salt"]).select("cluster", "band", part.alias("part"), "owner", "component", "size")
+
+
+def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int, percent: int, most: int = 50_000) -> DataFrame:
     """All links between components that open_rows (cluster, owner, component, size) leave possible. A cluster's rows are
-    dealt to blocks by class of size, of about ``most`` n-grams each; blocks of one class or of neighbours are multiplied."""
-    held = open_rows.join(sets.select(F.col("node").alias("owner"), "place"), "owner")
+    dealt to blocks; blocks of one class of size or of neighbours that hold several components are multiplied."""
+    held = checkpointed(_dealt(open_rows, percent, most).join(sets.select(F.col("node").alias("owner"), "place"), "owner"))
+    columns = ("cluster", "band", "part", "owner", "component", "size")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PART):
                 grams = pa.array([x.tobytes() for x in ngram_sets(part.column("text"), n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "owner", "component", "size")), grams], names=["cluster", "owner", "component", "size", "grams"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), grams], names=[*columns, "grams"])
 
-    placed = held.join(blocks.among(texts, held.select("place"), "place"), "place").select("cluster", "owner", "component", "size", "text").mapInArrow(fill, "cluster long, owner long, component long, size int, grams binary")
-    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) * 1.001)).cast("int")
-    placed = placed.withColumn("band", band)
-    parts = open_rows.withColumn("band", band).groupBy("cluster", "band").agg(F.ceil(F.sum("size") / most).cast("long").alias("parts"))
-    dealt = placed.join(parts, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("owner"), F.col("parts"))).drop("parts")
-    made = checkpointed(dealt.groupBy("cluster", "band", "part").applyInArrow(_block, BLOCK))
+    filled = held.join(blocks.among(texts, held.select("place"), "place"), "place").select(*columns, "text").mapInArrow(fill, "cluster long, band int, part long, owner long, component long, size int, grams binary")
+    made = checkpointed(filled.groupBy("cluster", "band", "part").applyInArrow(_block, BLOCK))
+    dropped(held)
     light = made.select("cluster", "band", "part", "least", "most")
     a, b = light.alias("a"), light.alias("b")
     later = ((F.col("a.band") == F.col("b.band")) & (F.col("a.part") <= F.col("b.part"))) | (F.col("a.band") + 1 == F.col("b.band"))
@@ -388,11 +400,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     salted = mixed_columns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     open_rows = checkpointed(entry.withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"]).select("owner", "component", "size", "hub").distinct())
     dropped(product)
-    clusters = components(open_rows.select(F.col("component").alias("a"), F.col("hub").alias("b")))
-    clustered = checkpointed(open_rows.select("owner", "component", "size").distinct().join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"))
+    groups = first
+    if open_rows.limit(1).count():
+        clusters = components(open_rows.select(F.col("component").alias("a"), F.col("hub").alias("b")))
+        clustered = checkpointed(open_rows.select("owner", "component", "size").distinct().join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"))
+        more = checkpointed(_open_links(clustered, texts, sets, n, percent))
+        groups = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        dropped(clustered, more)
     dropped(open_rows)
-    more = checkpointed(_open_links(clustered, texts, sets, n, percent))
-    groups = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     member = sets.join(groups, "node", "left").select("name", "check", "doc_id", F.coalesce("component", "node").alias("group"))
     smallest = member.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     classes = member.join(smallest, "group").select("name", "check", "component_id")
