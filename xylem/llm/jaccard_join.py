@@ -40,6 +40,8 @@ from xylem.llm.words import LOWER, U, mixed, slices, text_bytes, window_names, w
 BITS, MOST_BITS, COLUMN, BRIDGES = 18, 22, 20_000, 8
 #: Bytes of text that are read at a time; shares in which a column's rows meet what its components tell.
 PART, SALTS = 1 << 20, 32
+#: Rows in a block of whole rows, about, where texts are short.
+ROWS = 200
 _SET, _CHECK = U(0xC2B2AE3D27D4EB4F), U(0x27D4EB2F165667C5)
 
 
@@ -282,11 +284,11 @@ def _block_links(rows_a: bytes, grams_a: bytes, rows_b: bytes, grams_b: bytes, p
 
 
 def _dealt(open_rows: DataFrame, percent: int, most: int) -> DataFrame:
-    """open_rows with band, a class of size, and part: blocks of about ``most`` n-grams. A component of that many n-grams has
+    """open_rows with band, a class of size, and part: blocks of about ``most`` n-grams, or ROWS rows of short texts. A component of that many n-grams has
     blocks of its own, so that pairs of its blocks need no product; smaller ones share blocks, each whole in one."""
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) * 1.001)).cast("int")
     rows = open_rows.withColumn("band", band).withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int"))
-    grams = rows.groupBy("cluster", "band", "component").agg(F.sum("size").alias("grams"))
+    grams = rows.groupBy("cluster", "band", "component").agg(F.sum(F.greatest("size", F.lit(most // ROWS))).alias("grams"))
     shared = grams.where(F.col("grams") < most).groupBy("cluster", "band").agg(F.ceil(F.sum("grams") / most).cast("long").alias("parts"))
     # a component of many rows is dealt out by its rows as well
     known = grams.join(shared, ["cluster", "band"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
