@@ -2,10 +2,12 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +223,46 @@ def test_components(spark):
     assert found == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 104), 100)
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(8)
+    for n, m in ((5, 4), (60, 50), (400, 500)):
+        links = [(rng.randint(-n, n), rng.randint(-n, n)) for _ in range(m)] + [(None, 1), (2, None)]
+        least = {x: x for a, b in links if a is not None and b is not None and a != b for x in (a, b)}
+        for _ in least:
+            for a, b in links:
+                if a in least and b in least and a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        assert dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()) == least
+
+
+def test_a_round_of_components_is_planned_without_joins(spark, monkeypatch):
+    from xylem.llm import components as graph
+
+    plans, written = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    found = components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long"))
+    assert found.where("component = 0").count() == 101
+    assert len(plans) > 2 and not any("Join" in p for p in plans)
+
+
+def test_the_driver_gets_a_byte_of_each_counter(docs_of, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from xylem.llm import jaccard_join as join
+
+    monkeypatch.setattr(join, "COLUMN", 5)
+    rng = random.Random(9)
+    df = docs_of([" ".join(["a b c d e"] * rng.randint(1, 3) + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(40))]) for _ in range(300)])
+    got, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: got.extend(rows := collect(self)) or rows)
+    rank, parts = join.frequency_table(df, 2, 1)
+    assert sum(len(x) for r in got for x in r if isinstance(x, bytes | bytearray)) < 2 * len(rank)
+    monkeypatch.undo()
+    counts = collections.Counter(int(x) >> (64 - join.BITS) for r in df.collect() for g in join.ngram_sets(pa.array([r.text]), 2) for x in g)
+    assert {int(i): (int(rank[i]), int(parts[i])) for i in rank.nonzero()[0]} == {i: (int(4 * math.log2(c + 1) + 1e-12), -(-c // 5)) for i, c in counts.items()}
+    assert set(parts[rank == 0]) == {1}
+
+
 # ---- language model
 
 

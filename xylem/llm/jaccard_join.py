@@ -38,6 +38,8 @@ from xylem.llm.words import LOWER, U, mixed, slices, text_bytes, window_names, w
 #: Counters of the table that orders n-grams: 2**BITS at least and 2**MOST_BITS at most; rows of a column that a block
 #: holds, about; rows by which a part of a column meets the others.
 BITS, MOST_BITS, COLUMN, BRIDGES = 18, 22, 20_000, 8
+#: Counters that go together.
+PIECE = 1 << 12
 #: Bytes of text that are read at a time; shares in which a column's rows meet what its components tell.
 PART, SALTS = 1 << 20, 32
 #: Rows in a block of whole rows, about, where texts are short.
@@ -85,11 +87,35 @@ def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
     return (grams >> U(64 - bits)).astype(np.int64)
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts as the narrowest unsigned numbers that hold them; their width tells which."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _summed(table: pa.Table) -> np.ndarray:
+    total = np.zeros(PIECE, np.int64)
+    for x in table.column("counts").to_pylist():
+        total += np.frombuffer(x, f"u{len(x) // PIECE}").astype(np.int64)
+    return total
+
+
+def _added(table: pa.Table) -> pa.Table:
+    return pa.table({"part": table.column("part")[:1], "counts": pa.array([_narrow(_summed(table))], pa.binary())})
+
+
+def _ranked(table: pa.Table, most: int) -> pa.Table:
+    """What the driver needs of a piece of the counters: ranks, the sum, and the counters above ``most`` with their counts."""
+    total = _summed(table)
+    rank = np.minimum(np.floor(4 * np.log2(total + 1)), 255).astype(np.uint8)
+    at = np.flatnonzero(total > most)
+    return pa.table({"part": table.column("part")[:1], "ranks": pa.array([rank.tobytes()], pa.binary()), "sum": pa.array([int(total.sum())]), "at": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "often": pa.array([total[at].tobytes()], pa.binary())})
+
+
 def frequency_table(texts: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """How many n-grams of the corpus fall on each of a fixed number of counters, as a rank from rare to frequent (log
-    scale); and to how many parts a column of the counter is dealt. All rows count; the driver holds the counters."""
+    scale); and to how many parts a column of the counter is dealt. All rows count; the driver gets a byte for each counter
+    and the counts of those above COLUMN, not all counts."""
     bits = int(np.clip((total >> 11).bit_length(), BITS, MOST_BITS))
-    part = 1 << 12
     salts = max(1, total >> 31)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,21 +124,22 @@ def frequency_table(texts: DataFrame, n: int, total: int) -> tuple[np.ndarray, n
             for piece in slices(batch, "text", PART):
                 found = list(ngram_sets(piece.column("text"), n))
                 if found:
-                    total += np.bincount(_slot(np.concatenate(found), bits), minlength=1 << bits)
+                    np.add.at(total, _slot(np.concatenate(found), bits), 1)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total) // part), pa.int32()), pa.array([total[i : i + part].tobytes() for i in range(0, len(total), part)], pa.binary())], names=["part", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total) // PIECE), pa.int32()), pa.array([_narrow(total[i : i + PIECE]) for i in range(0, len(total), PIECE)], pa.binary())], names=["part", "counts"])
 
     # in two steps, so that no group grows with the number of tasks
-    summed = texts.select("text").mapInArrow(count, "part int, counts binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("part", "salt").applyInArrow(lambda t: add(t), "part int, counts binary")
-    counts = np.zeros(1 << bits, np.int64)
-    for row in summed.groupBy("part").applyInArrow(lambda t: add(t), "part int, counts binary").collect():
-        counts[row["part"] * part : (row["part"] + 1) * part] = np.frombuffer(row["counts"], np.int64)
-    parts = -(-counts // max(COLUMN, int(4 * counts.mean())))
-    return np.minimum(np.floor(4 * np.log2(counts + 1)), 255).astype(np.uint8), np.clip(parts, 1, 1 << 15).astype(np.uint16)
+    summed = texts.select("text").mapInArrow(count, "part int, counts binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("part", "salt").applyInArrow(lambda t: _added(t), "part int, counts binary")
+    rank, parts, often, whole, column = np.zeros(1 << bits, np.uint8), np.ones(1 << bits, np.uint16), [], 0, COLUMN
+    for row in summed.groupBy("part").applyInArrow(lambda t: _ranked(t, column), "part int, ranks binary, sum long, at binary, often binary").collect():
+        begin = row["part"] * PIECE
+        rank[begin : begin + PIECE] = np.frombuffer(row["ranks"], np.uint8)
+        often.append((begin + np.frombuffer(row["at"], np.int32), np.frombuffer(row["often"], np.int64)))
+        whole += row["sum"]
+    most = max(column, int(4 * (whole / len(rank))))
+    for at, counts in often:
+        parts[at] = np.clip(-(-counts // most), 1, 1 << 15)
+    return rank, parts
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -391,6 +418,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     tables = texts.sparkSession.sparkContext.broadcast(frequency_table(texts, n, total))
     entries = _incidence(texts.where("doc_id is not null"), n, percent, tables, shared, buckets)
     product = checkpointed(entries.groupBy("bucket").applyInArrow(_product(percent, tables), PRODUCT))
+    tables.unpersist()  # the product is written
     bridges = product.where("bridge").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInArrow(_bridged(percent), "a long, b long")
     links = _verified(product.where("b is not null").select("a", "b").union(bridges).distinct(), texts, sets, n, percent)
     first = components(links)
