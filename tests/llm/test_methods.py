@@ -202,6 +202,22 @@ def test_rows_among_wanted(spark):
     assert kept >= set(range(0, 5000, 50)) and len(kept) < 1000
 
 
+def test_freed_memory_is_given_back():
+    import gc
+    import re
+    from pathlib import Path
+
+    from xylem.llm.shared import give_back
+
+    own = lambda: int(re.search(r"\nRssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+    held = [np.ones(1 << 12) for _ in range(6000)]  # 192 MB in pieces that malloc keeps, under one that stays
+    del held[:-1]
+    gc.collect()
+    before = own()
+    give_back()
+    assert own() < before - 100
+
+
 # ---- scores
 
 

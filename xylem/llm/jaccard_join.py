@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from xylem.llm import blocks
 from xylem.llm.components import components
-from xylem.llm.shared import checkpointed, dropped
+from xylem.llm.shared import checkpointed, dropped, give_back
 from xylem.llm.words import LOWER, U, mixed, slices, text_bytes, window_names, word_bounds, word_names
 
 #: Counters of the table that orders n-grams: 2**BITS at least and 2**MOST_BITS at most; rows of a column that a block
@@ -178,6 +178,7 @@ def _incidence(texts: DataFrame, n: int, percent: int, tables, shared: frozenset
                 cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)].tolist()
                 spans = list(zip(cuts[:-1], cuts[1:], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (grams, owner, size, left))], names=["bucket", "grams", "owner", "size", "left"])
+        give_back()
 
     return texts.select("text").mapInArrow(rows, "bucket int, grams binary, owner binary, size binary, left binary")
 
@@ -234,6 +235,7 @@ def _product(percent: int, tables):
         """Pairs (a, b) of each row with the next of its column that it can be similar to; the entries (gram, a, size, left) of
         columns in which a row can be similar to one farther on; and, of columns dealt to several buckets, all entries, with
         a few of them as bridges to the other parts."""
+        give_back()  # what the bucket before took
         g, o, s, l, dealt = _columns(table, tables.value[1])
         n = len(g)
         a, b = _chain(g, o, s, l, percent)
@@ -335,6 +337,7 @@ def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int,
             for part in slices(batch, "text", PART):
                 grams = pa.array([x.tobytes() for x in ngram_sets(part.column("text"), n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), grams], names=[*columns, "grams"])
+        give_back()
 
     filled = held.join(blocks.among(texts, held.select("place"), "place"), "place").select(*columns, "text").mapInArrow(fill, "cluster long, band int, part long, owner long, component long, size int, grams binary")
     made = checkpointed(filled.groupBy("cluster", "band", "part").applyInArrow(_block, BLOCK))
@@ -350,6 +353,7 @@ def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int,
             for row in zip(*(batch.column(c).to_pylist() for c in ("rows_a", "grams_a", "rows_b", "grams_b")), strict=True):
                 x, y = _block_links(*row, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+        give_back()
 
     side = lambda x: made.select("cluster", F.col("band").alias(f"band_{x}"), F.col("part").alias(f"part_{x}"), F.col("rows").alias(f"rows_{x}"), F.col("grams").alias(f"grams_{x}"))
     # keyed by block, so that the blocks of a large cluster spread over tasks
@@ -372,6 +376,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame, n: int, perce
                     both = int(blocks.member(y, left).sum())
                     keep[i] = 100 * both >= percent * (len(left) + len(y) - both)
                 yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in (part.column("a"), part.column("b"))], names=["a", "b"])
+        give_back()
 
     side = lambda x: sets.select(F.col("node").alias(x), F.col("place").alias(f"place_{x}"))
     held = checkpointed(pairs.join(side("a"), "a").join(side("b"), "b"))
@@ -401,6 +406,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             for part in slices(batch, "text", PART):
                 found = [(len(x), *set_names(x)) for x in ngram_sets(part.column("text"), n)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("place"), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))], names=["doc_id", "place", "n_shingles", "name", "check"])
+        give_back()
 
     kinds = [docs.schema["doc_id"].dataType, *[T.LongType()] * 4]
     named = checkpointed(texts.mapInArrow(name, T.StructType([T.StructField(x, t) for x, t in zip(("doc_id", "place", "n_shingles", "name", "check"), kinds, strict=True)])))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from xylem.llm.blocks import text_size
-from xylem.llm.shared import checkpointed, dropped, mapped
+from xylem.llm.shared import checkpointed, dropped, give_back, mapped
 from xylem.llm.words import U, distinct_counts, mixed, slices, text_bytes, window_names
 
 #: Bytes in an n-gram; slots in the table; slots of an n-gram; n-grams that a task holds before it passes them on.
@@ -149,6 +149,8 @@ def learn(docs: DataFrame) -> LanguageFilter:
                         yield from dealt()
                         held, size = {}, 0
         yield from dealt()
+        held = {}
+        give_back()
 
     counted = "bucket int, lang int, names binary, counts binary"
 
@@ -211,6 +213,7 @@ def language_id(docs: DataFrame, model: LanguageFilter, names: tuple[str, str] =
             for part in slices(batch, text, PART):
                 lang, score = shared.value.decide(part.column(text))
                 yield [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+        give_back()
 
     made = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType()), strict=True)]
     return mapped(docs, kept, made, decide)

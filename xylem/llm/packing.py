@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from xylem.llm.shared import checkpointed
+from xylem.llm.shared import checkpointed, give_back
 from xylem.llm.wordpool import WordPool
 from xylem.llm.words import LOWER, slices, text_bytes, word_bounds
 
@@ -90,6 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                             column.append(x)
                 at = pa.array(out[0], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("place").take(at), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "place", "start", "length", "ids_crc32", "doc_tokens"])
+        give_back()
 
     texts = docs.select("doc_id", F.monotonically_increasing_id().alias("place"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, place long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -48,6 +49,14 @@ def dropped(*tables: DataFrame) -> None:
             file.getFileSystem(session._jsc.hadoopConfiguration()).delete(file, True)
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system: a Python worker lives on into the next stages, where what
+    its largest arrays took counts beside what others need."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def free(name: str, taken: Iterable[str]) -> str:
     """A column name like ``name`` that is not taken."""
     used = {x.lower() for x in taken}

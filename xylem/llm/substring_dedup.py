@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from xylem.llm import blocks
+from xylem.llm.shared import give_back
 from xylem.llm.words import U, mixed, text_bytes, word_bounds, word_names
 
 #: Bytes of text that are parsed at a time.
-PART = 1 << 20
+PART = 1 << 19
 _RUN, _PAIR = (U(0xA24BAED4963EE407), U(0x8EBC6AF09C88C6E3)), (U(0x9FB21C651E98DF25), U(0x589965CC75374CC3))
 _ENDS, _JOIN = (U(0xE7037ED1A0B428DB), U(0x1D8E4E27C47D124F)), U(0x9E3779B97F4A7C15)
 _FAR = np.int32(1 << 29)
@@ -220,7 +221,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False,
     texts = blocks.blocked(docs, n_blocks, keep)
 
     def parts(table: pa.Table, lanes: int):
-        """Of each part of a block: the parse, each window's symbol, which windows are whole, and the number of words before."""
+        """Of each part of a block: the parse, each window's symbol, which windows are whole, and the number of words before.
+        What the parses took goes back after the last."""
         before = 0
         for part in blocks.in_order(table, PART):
             data, offsets = text_bytes(part.column("text"))
@@ -228,7 +230,9 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False,
             if n := len(starts):
                 parse = recompress([word_names(data, starts, ends, lane) for lane in range(lanes)], first, window)
                 yield parse, longest_inside(parse, first, n, window), _whole(first, n, window), before
+                del parse
             before += n
+        give_back()
 
     def symbols(table: pa.Table) -> pa.Table:
         found = [np.zeros(0, U)]
@@ -263,6 +267,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False,
         for part, data, offsets, starts, ends, first in cut:
             out.append(_rows(part, data, offsets, starts, ends, first, gone[before : before + len(starts)], with_text))
             before += len(starts)
+        del cut, gone
+        give_back()
         return pa.concat_tables(out)
 
     shared = blocks.repeated(texts.groupBy("block").applyInArrow(symbols, blocks.ASKED))
