@@ -263,6 +263,25 @@ def test_the_driver_gets_a_byte_of_each_counter(docs_of, monkeypatch):
     assert set(parts[rank == 0]) == {1}
 
 
+def test_salted_keys_are_not_broadcast(spark, monkeypatch):
+    from xylem.llm import jaccard_join as join
+
+    rows = spark.createDataFrame([(c, 10 * c + r, c, 20) for c in range(20) for r in range(10)], "cluster long, owner long, component long, size int")
+    dealt = join._dealt(rows, 80, 50_000)
+    assert {(r.owner, r.component) for r in dealt.collect()} == {(10 * c + r, c) for c in range(20) for r in range(10)}
+    seen, written = [], join.checkpointed
+    monkeypatch.setattr(join, "checkpointed", lambda df: seen.append(df) or written(df))
+    say = lambda *x: " ".join(f"w{i}" for i in x)
+    texts = [say(*range(40), *range(k, k + 12)) for k in range(100, 2000, 100)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, join.jaccard_join(docs, 2, 80).collect())) == sorted(brute_join(list(enumerate(texts)), 2, 80))
+    salted = [p for df in [dealt, *seen] if "explode" in (p := df._jdf.queryExecution().toString()).lower()]
+    assert len(salted) > 1
+    for plan in salted:
+        joined = [x for x in plan.splitlines() if "HashJoin" in x or "MergeJoin" in x]
+        assert not [x for x in joined if "salt" in x and "MergeJoin" not in x]
+
+
 # ---- language model
 
 

@@ -312,6 +312,12 @@ def _block_links(rows_a: bytes, grams_a: bytes, rows_b: bytes, grams_b: bytes, p
     return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
+def spread(keys: DataFrame) -> DataFrame:
+    """keys once for each salt, for a join by key and salt. Spark takes these rows for as many as keys has, so it is kept from
+    sending them to the driver and from there to all executors."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+
+
 def _dealt(open_rows: DataFrame, percent: int, most: int) -> DataFrame:
     """open_rows with band, a class of size, and part: blocks of about ``most`` n-grams, or ROWS rows of short texts. A component of that many n-grams has
     blocks of its own, so that pairs of its blocks need no product; smaller ones share blocks, each whole in one."""
@@ -320,10 +326,10 @@ def _dealt(open_rows: DataFrame, percent: int, most: int) -> DataFrame:
     grams = rows.groupBy("cluster", "band", "component").agg(F.sum(F.greatest("size", F.lit(most // ROWS))).alias("grams"))
     shared = grams.where(F.col("grams") < most).groupBy("cluster", "band").agg(F.ceil(F.sum("grams") / most).cast("long").alias("parts"))
     # a component of many rows is dealt out by its rows as well
-    known = grams.join(shared, ["cluster", "band"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = grams.join(shared, ["cluster", "band"], "left")
     own = F.xxhash64("component", F.pmod(F.xxhash64("owner"), F.ceil(F.col("grams") / most).cast("long")))
     part = F.when(F.col("grams") >= most, own).otherwise(F.pmod(F.xxhash64("component"), F.col("parts")))
-    return rows.join(known, ["cluster", "band", "component", "salt"]).select("cluster", "band", part.alias("part"), "owner", "component", "size")
+    return rows.join(spread(known), ["cluster", "band", "component", "salt"]).select("cluster", "band", part.alias("part"), "owner", "component", "size")
 
 
 def _open_links(open_rows: DataFrame, texts: DataFrame, sets: DataFrame, n: int, percent: int, most: int = 50_000) -> DataFrame:
@@ -433,8 +439,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     entry = entry.withColumn("component", F.coalesce("component", "owner"))
     mixed_columns = entry.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("gram", F.col("least").alias("hub"))
     # a column of many rows is dealt out by its rows as well
-    salted = mixed_columns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    open_rows = checkpointed(entry.withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"]).select("owner", "component", "size", "hub").distinct())
+    open_rows = checkpointed(entry.withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int")).join(spread(mixed_columns), ["gram", "salt"]).select("owner", "component", "size", "hub").distinct())
     dropped(product)
     groups = first
     if open_rows.limit(1).count():
