@@ -162,3 +162,30 @@ def test_options(spark):
     spark.conf.unset("xylem.max_depth")
     with pytest.raises(ValueError):
         XmlOptions(profile="other")
+
+
+@pytest.mark.parametrize("other_store", [False, True])
+def test_one_document_a_file(spark, tmp_path, monkeypatch, other_store):
+    """Folders don't grow in number with the documents, equal and null ones included; by the workers, or by Spark's writer."""
+    monkeypatch.setattr(files, "FILES", 50)
+    docs = spark.range(300).selectExpr("id % 7 AS doc_id", "if(id % 3 = 0, NULL, concat('<é>', id % 10, '\\n</é>')) AS content").coalesce(1)
+    path = f"{'' if other_store else 'file://'}{tmp_path}/a b"
+    files.write_files(docs, path)
+    found = files.read_documents(spark, path, glob="*.txt", recursive=True)
+    texts = [bytes(r["content"]).decode().rstrip("\n") for r in found.collect()]
+    assert sorted(texts) == sorted(f"<é>{i % 10}\n</é>" for i in range(300) if i % 3)
+    assert len([x for x in (tmp_path / "a b").rglob("*") if x.is_dir()]) <= 6
+
+
+@pytest.mark.parametrize("name", ["text_files", "binary_files"])
+def test_files_without_a_folder_each(spark, name):
+    from pathlib import Path
+
+    from xylem.plans import queries
+
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(base.rglob("*"))
+    n = queries.QUERIES[name](spark, "/root/testdata/sf0.01").count()
+    new = set(base.rglob("*")) - before
+    assert n == len([x for x in new if x.suffix == ".txt"]) == 100
+    assert len([x for x in new if x.is_dir()]) <= 3

@@ -577,7 +577,7 @@ def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from xylem.sources import files
 
     folder = shared_folder(spark)
-    built(spark, sf_dir, "supplier", "s_suppkey", "concat('<s id=\"', s_suppkey, '\">', s_nationkey, '</s>')").write.partitionBy("doc_id").text(folder)
+    files.write_files(built(spark, sf_dir, "supplier", "s_suppkey", "concat('<s id=\"', s_suppkey, '\">', s_nationkey, '</s>')"), folder)
     docs = files.read_documents(spark, folder, glob="*.txt", recursive=True)
     schema = XmlSchema("s", T.StructType([attr("id", _L), value("nation", _I)]))
     return unmarshal(docs, schema).select("value.id", "value.nation")
