@@ -565,7 +565,7 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from xylem.sources import files
 
     folder = shared_folder(spark)
-    built(spark, sf_dir, "supplier", "s_suppkey", "concat('<s id=\"', s_suppkey, '\"><name>', s_name, '</name></s>')").write.partitionBy("doc_id").text(folder)
+    files.write_files(built(spark, sf_dir, "supplier", "s_suppkey", "concat('<s id=\"', s_suppkey, '\"><name>', s_name, '</name></s>')"), folder)
     docs = files.read_text_documents(spark, f"{folder}/*")
     schema = XmlSchema("s", T.StructType([attr("id", _L), elem("name")]))
     return unmarshal(docs, schema).select("value.id", "value.name")
