@@ -189,3 +189,31 @@ def test_files_without_a_folder_each(spark, name):
     new = set(base.rglob("*")) - before
     assert n == len([x for x in new if x.suffix == ".txt"]) == 100
     assert len([x for x in new if x.is_dir()]) <= 3
+
+
+def test_rows_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Each file is a document of its own and holds a bounded part of the rows, whatever their number."""
+    from xml.etree import ElementTree
+
+    monkeypatch.setattr(files, "LINES", 12)
+    rows = spark.range(0, 95, 1, 3).selectExpr("if(id = 50, NULL, concat('<item><a>', id, '</a></item>')) AS content")
+    files.write_rows(rows, str(tmp_path / "rows"), "items")
+    found = [ElementTree.fromstring(x.read_text()) for x in (tmp_path / "rows").glob("*.txt")]
+    assert {x.tag for x in found} == {"items"} and max(map(len, found)) == 10
+    want = [i for i in range(95) if i != 50]
+    assert sorted(int(e[0].text) for x in found for e in x) == want
+    assert sorted(r.a for r in files.read_rows(spark, str(tmp_path / "rows"), "item").collect()) == want
+    assert sorted(r.a for r in files.read_rows(spark, str(tmp_path / "rows"), "item", "a string").collect()) == sorted(map(str, want))
+
+
+def test_framed_rows_write_no_file_in_one_row(spark, monkeypatch):
+    from pathlib import Path
+
+    from xylem.plans import queries
+
+    monkeypatch.setattr(files, "LINES", 10_000)
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(base.rglob("*.txt"))
+    assert queries.QUERIES["framed_rows"](spark, "/root/testdata/sf0.01").count() == 60_000
+    new = set(base.rglob("*.txt")) - before
+    assert max(len(x.read_text().splitlines()) for x in new) == 10_000 and max(len(line) for x in new for line in x.open()) < 200

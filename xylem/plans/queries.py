@@ -606,13 +606,13 @@ def sink_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS orderkey, l_linenumber AS line, l_partkey AS part FROM lineitem")
 def framed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large files of repeated elements, split by Spark's own source."""
+    """Large files of repeated elements, read by Spark's own source."""
     from xylem.sources import files
 
     folder = shared_folder(spark)
-    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 8).alias("k"), F.expr("concat('<item><orderkey>', l_orderkey, '</orderkey><line>', l_linenumber, '</line><part>', l_partkey, '</part></item>')").alias("x"))
-    items.groupBy("k").agg(F.concat(F.lit("<items>"), F.array_join(F.collect_list("x"), ""), F.lit("</items>")).alias("value")).write.partitionBy("k").text(folder)
-    return files.read_rows(spark, folder, "item").select(*(F.col(c).cast(t) for c, t in (("orderkey", "long"), ("line", "int"), ("part", "long"))))
+    items = "concat('<item><orderkey>', l_orderkey, '</orderkey><line>', l_linenumber, '</line><part>', l_partkey, '</part></item>')"
+    files.write_rows(built(spark, sf_dir, "lineitem", "l_orderkey", items), folder, "items")
+    return files.read_rows(spark, folder, "item", "orderkey long, line int, part long")
 
 
 @query("SELECT o_orderkey AS doc_id, o_orderkey % 3 = 0 AS ok FROM orders")
