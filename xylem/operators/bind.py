@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -216,6 +217,164 @@ def _root(events: Iterator[Event]) -> Event:
     raise RecordError("No root element")
 
 
+class _Tree:
+    """The elements of a batch's documents, in document order: for each its document, the element around it (-1: none), the
+    number of its own chunks of text, and a position that finds the text of one that has one chunk. odd: elements of which more
+    than this has to be known: attributes with a prefix, or a name whose prefix is unbound."""
+
+    def __init__(self, docs: int, doc: np.ndarray, parent: np.ndarray, chunks: np.ndarray, odd: np.ndarray):
+        self.docs, self.doc, self.parent, self.chunks, self.odd = docs, doc, parent, chunks, odd
+        self.children = np.bincount(parent[parent >= 0], minlength=len(doc))
+
+    def named(self, ns: str, local: str) -> np.ndarray:
+        """Which elements have that name."""
+        raise NotImplementedError
+
+    def attribute(self, at: np.ndarray, local: str) -> pa.Array:
+        """For each of the elements its attribute of that name without a prefix, null where it has none."""
+        raise NotImplementedError
+
+    def text(self, at: np.ndarray) -> pa.Array:
+        """For each of the elements, which have at most one chunk, their text; null where there is none."""
+        raise NotImplementedError
+
+
+class _TokenTree(_Tree):
+    """That of a batch of plain documents."""
+
+    def __init__(self, t: Tokens):
+        self.t, self.tags = t, np.flatnonzero(t.starts)
+        number = np.full(len(t) + 1, -1)
+        number[self.tags] = np.arange(len(self.tags))
+        with_text = np.flatnonzero(t.has_text)
+        owner = number[t.owner[with_text]]
+        self.chunk = np.zeros(len(self.tags), np.int64)
+        self.chunk[owner] = with_text
+        prefixed = t.per_shape(lambda s: any(":" in k and not k.startswith("xmlns:") for k, _ in s.attrs), bool)
+        self.shape = t.shape[self.tags]
+        self.space = t.space.take(pa.array(self.tags))
+        odd = prefixed[self.shape] | self.space.is_null().to_numpy(zero_copy_only=False) if len(self.tags) else np.zeros(0, bool)
+        super().__init__(len(t.docs), t.place[self.tags], number[t.parent[self.tags]], np.bincount(owner, minlength=len(self.tags)), odd)
+
+    def named(self, ns: str, local: str) -> np.ndarray:
+        same = self.t.per_shape(lambda s: s.local == local, bool)[self.shape]
+        return same & pc.fill_null(pc.equal(self.space, ns), False).to_numpy(zero_copy_only=False) if len(same) else same.astype(bool)
+
+    def attribute(self, at: np.ndarray, local: str) -> pa.Array:
+        return self.t.shaped(lambda s: dict(s.attrs).get(local), pa.string(), self.shape[at])
+
+    def text(self, at: np.ndarray) -> pa.Array:
+        return pc.if_else(pa.array(self.chunks[at] > 0), self.t.texts(self.chunk[at]), pa.scalar(None, pa.string()))
+
+
+class _Columns:
+    """Binds all documents of a tree by columns. ``bad``: documents that it leaves to the binding by events, which has the last
+    word on all errors."""
+
+    def __init__(self, tree: _Tree):
+        self.tree, self.bad = tree, np.zeros(tree.docs, bool)
+
+    @staticmethod
+    def able(struct: T.StructType) -> bool:
+        """Whether a structure has attributes, texts, elements and lists of them only."""
+        for f in struct.fields:
+            xml = f.metadata.get("xml")
+            if xml is None:
+                continue
+            kind = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+            if xml.get("qname") or xml.get("set") or xml.get("subtypes") or "wrapper" in xml or xml["kind"] == "attr" and xml.get("ns"):
+                return False
+            if isinstance(kind, T.StructType) and not _Columns.able(kind):
+                return False
+        return True
+
+    def refuse(self, elements: np.ndarray) -> None:
+        self.bad[self.tree.doc[elements]] = True
+
+    def parsed(self, texts: pa.Array, kind: T.DataType, xml: dict, at: np.ndarray) -> pa.Array:
+        """The values of texts of the elements; each distinct text is read once."""
+        if isinstance(kind, T.StringType) and not xml.get("decimal") and not xml.get("enum"):
+            return texts.cast(to_arrow_type(kind))
+        parse = codecs.parser(kind, xml)
+        coded = pc.dictionary_encode(texts)
+        values, wrong = [], []
+        for i, text in enumerate(coded.dictionary.to_pylist()):
+            try:
+                values.append(parse(text))
+            except Exception:  # the binding by events tells why
+                values.append(None)
+                wrong.append(i)
+        if wrong:
+            self.refuse(at[pc.fill_null(pc.is_in(coded.indices, pa.array(wrong, coded.indices.type)), False).to_numpy(zero_copy_only=False)])
+        return pa.array(values, to_arrow_type(kind)).take(coded.indices)
+
+    def struct(self, at: np.ndarray, struct: T.StructType) -> pa.Array:
+        """The structures of the elements, which are in document order."""
+        tree, arrays = self.tree, []
+        self.refuse(at[tree.odd[at]])
+        place = np.full(len(tree.doc) + 1, -1)
+        place[at] = np.arange(len(at))
+        inner = np.flatnonzero(place[tree.parent] >= 0)
+        self.refuse(inner[tree.odd[inner]])
+        # of fields with one name the last one counts, as in _Plan
+        last = {(f.metadata["xml"]["kind"], f.metadata["xml"].get("ns", ""), f.metadata["xml"].get("local")): f.name for f in struct.fields if f.metadata.get("xml")}
+        for f in struct.fields:
+            xml = f.metadata.get("xml")
+            if xml is None or last[xml["kind"], xml.get("ns", ""), xml.get("local")] != f.name:
+                arrays.append(pa.nulls(len(at), to_arrow_type(f.dataType)))
+            elif xml["kind"] == "attr":
+                arrays.append(self.parsed(tree.attribute(at, xml["local"]), f.dataType, xml, at))
+            elif xml["kind"] == "value":
+                self.refuse(at[tree.chunks[at] > 1])
+                arrays.append(self.parsed(pc.fill_null(tree.text(at), ""), f.dataType, xml, at))
+            else:
+                own = inner[tree.named(xml.get("ns", ""), xml["local"])[inner]]
+                arrays.append(self.element(own, place[tree.parent[own]], len(at), f, xml))
+        kind = to_arrow_type(struct)
+        return pa.StructArray.from_arrays(arrays, fields=[kind.field(i) for i in range(kind.num_fields)])
+
+    def element(self, own: np.ndarray, owner: np.ndarray, n: int, f: T.StructField, xml: dict) -> pa.Array:
+        many = isinstance(f.dataType, T.ArrayType)
+        kind = f.dataType.elementType if many else f.dataType
+        if isinstance(kind, T.StructType):
+            found = self.struct(own, kind)
+        else:
+            self.refuse(own[(self.tree.chunks[own] > 1) | (self.tree.children[own] > 0)])
+            texts = pc.fill_null(self.tree.text(own), "")
+            if (default := xml.get("default")) is not None:
+                texts = pc.if_else(pc.equal(texts, ""), str(default), texts)
+            found = self.parsed(texts, kind, xml, own)
+        if not many:
+            at = np.full(n, -1)
+            np.maximum.at(at, owner, np.arange(len(own)))  # the last one wins
+            return found.take(pa.array(at, mask=at < 0))
+        order = np.argsort(owner, kind="stable")
+        counts = np.bincount(owner, minlength=n)
+        ends = pa.array(np.r_[0, np.cumsum(counts)], pa.int32(), mask=np.r_[counts == 0, False])
+        return pa.ListArray.from_arrays(ends, found.take(pa.array(order)), type=to_arrow_type(f.dataType))
+
+    def roots(self, schema: XmlSchema) -> pa.Array:
+        """The value of each document."""
+        root = np.flatnonzero(self.tree.parent < 0)
+        fits = self.tree.named(schema.ns, schema.root)[root]
+        self.refuse(root[~fits])
+        return self.struct(root, schema.struct)
+
+
+def _in_columns(schema: XmlSchema) -> Callable[[Tokens], Made] | None:
+    """The rows of a batch's plain documents by columns, for schemas that it can bind so."""
+    if schema.subtypes.get(schema.root) or not _Columns.able(schema.struct):
+        return None
+
+    def plain(t: Tokens) -> Made:
+        bound = _Columns(_TokenTree(t))
+        value = bound.roots(schema)
+        good = np.flatnonzero(~bound.bad)
+        return t.docs[good], t.docs[good], [value.take(pa.array(good)), pa.array(np.ones(len(good), bool)), pa.nulls(len(good), pa.string())]
+
+    return plain
+
+
 def _plainly(one: Callable[[Iterator[Event]], Iterable[tuple]], fields: list[T.StructField]) -> Callable[[Tokens], Made]:
     """The rows of a batch's plain documents; those that are refused are left to the scan."""
     types = [to_arrow_type(f.dataType) for f in fields]
@@ -256,7 +415,7 @@ def unmarshal(docs: DataFrame, schema: XmlSchema, options: XmlOptions | None = N
     breaks the grammar before, has another root or a value of the wrong form has a null value and the reason."""
     options = options or XmlOptions.of(docs)
     one = _bound(schema)
-    return _finished(per_document(docs, Maker(_fields(schema), lambda data: one(scan(data, options)), _plainly(one, _fields(schema)), _REFUSED, options), key, content), {"value": schema})
+    return _finished(per_document(docs, Maker(_fields(schema), lambda data: one(scan(data, options)), _in_columns(schema) or _plainly(one, _fields(schema)), _REFUSED, options), key, content), {"value": schema})
 
 
 def unmarshal_any(docs: DataFrame, context: XmlContext, options: XmlOptions | None = None, key: str = "doc_id", content: str = "content") -> DataFrame:
