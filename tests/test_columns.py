@@ -4,8 +4,11 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from xylem.operators import bind
+from xylem.operators import events as ev
 from xylem.operators.bind import _REFUSED, _bound, _fields, _in_columns
 from xylem.operators.events import Maker, tokens_of
 from xylem.operators.scanner import scan
@@ -44,3 +47,37 @@ def test_columns_bind_as_events_do(schema):
     assert found[0] == found[1] and len(found[0]) == len(docs)
     accepted = sum(row[1] for row in found[0].values())
     assert len(_in_columns(schema)(tokens_of(column, options))[0]) > 0.7 * accepted
+
+
+@pytest.mark.parametrize("schema", SCHEMAS[:2])
+@pytest.mark.parametrize("of_nodes", [False, True])
+def test_rows_bind_by_columns_as_one_by_one(spark, monkeypatch, schema, of_nodes):
+    """Relations of events and nodes, whole and broken ones, a few rows of a document in a batch."""
+    r = random.Random(6)
+    docs = [(i, f"<order{r.choice(['', ' id=\"5\"', ' xmlns=\"urn:a\"'])}>" + "".join(piece(r, 1) for _ in range(r.randint(0, 4))) + "</order>") for i in range(600)]
+    rows = ev.xml_events(spark.createDataFrame(docs, "doc_id long, content string"))
+    part = F.pmod(F.xxhash64("doc_id", "seq"), F.lit(40))
+    broken = rows.where(part != 0).withColumn("text", F.when(part != 1, F.col("text"))).withColumn("name", F.when(part != 2, F.col("name")))
+    rows = rows.unionByName(broken.withColumn("doc_id", F.col("doc_id") + 1000))
+    bind_rows = bind.unmarshal_events
+    if of_nodes:
+        rows, bind_rows = ev.xml_nodes(rows), bind.unmarshal_nodes
+        astray = (F.pmod(F.xxhash64("doc_id", "node_id"), F.lit(50)) == 0) & (F.col("doc_id") % 2 == 0)
+        rows = rows.withColumn("parent_id", F.when(astray, F.col("parent_id") - 1).otherwise(F.col("parent_id")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        by_columns = {x.doc_id: str(x) for x in bind_rows(rows, schema).collect()}
+        monkeypatch.setattr(bind._Columns, "able", staticmethod(lambda _: False))
+        assert by_columns == {x.doc_id: str(x) for x in bind_rows(rows, schema).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum("ok=True" in x for x in by_columns.values()) > 100
+
+
+def test_rows_of_a_document_are_not_read_one_by_one(spark, monkeypatch):
+    """The query's documents are all bound by columns: reading them one by one would fail."""
+    monkeypatch.setattr(bind, "_events_of", lambda _: 1 / 0)
+    from xylem.plans import queries
+
+    for name in ("unmarshal_from_events", "unmarshal_from_nodes"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 6000

@@ -353,12 +353,16 @@ class _Columns:
         ends = pa.array(np.r_[0, np.cumsum(counts)], pa.int32(), mask=np.r_[counts == 0, False])
         return pa.ListArray.from_arrays(ends, found.take(pa.array(order)), type=to_arrow_type(f.dataType))
 
-    def roots(self, schema: XmlSchema) -> pa.Array:
-        """The value of each document."""
+    def roots_of(self, schema: XmlSchema) -> pa.Array:
+        """The value of each document; null of one without a root."""
         root = np.flatnonzero(self.tree.parent < 0)
+        if self.bad.any():  # some may have no root, or several
+            root = root[~self.bad[self.tree.doc[root]]]
         fits = self.tree.named(schema.ns, schema.root)[root]
         self.refuse(root[~fits])
-        return self.struct(root, schema.struct)
+        at = np.full(self.tree.docs, -1)
+        at[self.tree.doc[root]] = np.arange(len(root))
+        return self.struct(root, schema.struct).take(pa.array(at, mask=at < 0))
 
 
 def _in_columns(schema: XmlSchema) -> Callable[[Tokens], Made] | None:
@@ -368,7 +372,7 @@ def _in_columns(schema: XmlSchema) -> Callable[[Tokens], Made] | None:
 
     def plain(t: Tokens) -> Made:
         bound = _Columns(_TokenTree(t))
-        value = bound.roots(schema)
+        value = bound.roots_of(schema)
         good = np.flatnonzero(~bound.bad)
         return t.docs[good], t.docs[good], [value.take(pa.array(good)), pa.array(np.ones(len(good), bool)), pa.nulls(len(good), pa.string())]
 
@@ -473,31 +477,164 @@ def _events_of(rows: Iterable[dict]) -> Iterator[Event]:
         raise RecordError("Unclosed element")
 
 
+class _RowTree(_Tree):
+    """That of rows (seq, event, name, text, attrs, and of nodes parent_id) of whole documents, each in order of seq; ``begin`` is
+    where each begins. wrong: documents whose rows are no tree with one root, or texts outside; names have no namespace, as
+    elements with a prefix or a declaration are odd."""
+
+    def __init__(self, rows: pa.Table, begin: np.ndarray):
+        n, docs = rows.num_rows, len(begin)
+        doc = np.repeat(np.arange(docs), np.diff(np.r_[begin, n]))
+        self.rows, self.wrong = rows, np.zeros(docs, bool)
+        kinds = rows.column("event").combine_chunks().dictionary_encode()
+        number = {START_ELEMENT: 1, END_ELEMENT: 2, TEXT: 3, CDATA: 3, "SPACE": 3}
+        kind = np.array([number.get(k, 0) for k in kinds.dictionary.to_pylist()] + [0])[pc.fill_null(kinds.indices, -1).to_numpy()]
+        self.at, text = np.flatnonzero(kind == 1), np.flatnonzero(kind == 3)
+        place = np.full(n + 1, -1)
+        place[self.at] = np.arange(len(self.at))
+        if "parent_id" in rows.column_names:
+            parent, level = self._by_parents(doc, kind, place)
+        else:
+            step = (kind == 1).astype(np.int64) - (kind == 2)
+            before = np.cumsum(step) - step
+            before -= np.repeat(before[begin], np.diff(np.r_[begin, n]))
+            last = np.r_[begin[1:], n] - 1
+            self.wrong[doc[(kind == 2) & (before < 1)]] = True
+            self.wrong |= (before + step)[last] != 0
+            level = np.maximum(np.where(kind == 1, before + 1, before), 0)
+            parent = None
+        self.wrong[doc[text[level[text] < 1]]] = True
+        nameless = rows.column("name").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        self.wrong[doc[((kind == 1) | (kind == 2)) & nameless]] = True
+        self.wrong |= np.bincount(doc[self.at[level[self.at] == 1]], minlength=docs) != 1
+        # the element around a row is the last one of the level above, before it
+        base = int(level.max(initial=0)) + 2
+        key = (doc[self.at] * base + level[self.at]) << 32 | self.at
+        order = np.argsort(key)
+        key, sorted_at = key[order], self.at[order]
+        around = np.full(n, -1)
+        for own, above in ((self.at, level[self.at] - 1), (text, level[text])):
+            if len(sorted_at):
+                found = sorted_at[np.maximum(np.searchsorted(key, (doc[own] * base + above) << 32 | own) - 1, 0)]
+                around[own] = np.where(above > 0, found, -1)
+        if parent is not None:  # an element that is closed already
+            own = np.r_[self.at, text]
+            self.wrong[doc[own[around[own] != parent[own]]]] = True
+        owner = place[around[text]]
+        text, owner = text[owner >= 0], owner[owner >= 0]
+        self.chunk = np.zeros(len(self.at), np.int64)
+        self.chunk[owner] = text
+        names = rows.column("name").combine_chunks().take(pa.array(self.at)).dictionary_encode()
+        self.names, self.name = names.dictionary.to_pylist(), pc.fill_null(names.indices, -1).to_numpy()
+        odd = np.array([":" in x for x in self.names] + [True])[self.name]
+        attrs = rows.column("attrs").combine_chunks().take(pa.array(self.at))
+        pairs, self.element = attrs.flatten(), pc.list_parent_indices(attrs).to_numpy()
+        self.keys, self.values = (pc.struct_field(pairs, i) for i in range(2))
+        self.wrong[doc[self.at[self.element[self.keys.is_null().to_numpy(zero_copy_only=False)]]]] = True
+        strange = pc.or_(pc.or_(pc.match_substring(self.keys, ":"), pc.equal(self.keys, "xmlns")), self.values.is_null())
+        odd[self.element[pc.fill_null(strange, True).to_numpy(zero_copy_only=False)]] = True
+        super().__init__(docs, doc[self.at], place[around[self.at]], np.bincount(owner, minlength=len(self.at)), odd)
+
+    def _by_parents(self, doc: np.ndarray, kind: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row of nodes the row of its parent (-1: none), and its level; of a text that of its parent."""
+        ids = self.rows.column("parent_id").combine_chunks()
+        seq, orphan = self.rows.column("seq").to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+        self.wrong[doc[1:][(doc[1:] == doc[:-1]) & (seq[1:] == seq[:-1])]] = True
+        self.wrong[doc[kind == 2]] = True
+        known, ranks = np.unique(np.r_[seq, pc.fill_null(ids, 0).to_numpy()], return_inverse=True)
+        have, ask = doc * len(known) + ranks[: len(seq)], doc * len(known) + ranks[len(seq) :]
+        found = np.minimum(np.searchsorted(have, ask), len(have) - 1)
+        fits = (have[found] == ask) & (kind[found] == 1) & (found < np.arange(len(seq)))
+        some = (kind == 1) | (kind == 3)
+        self.wrong[doc[some & ~orphan & ~fits]] = True
+        parent = np.where(orphan | ~fits, -1, found)
+        level = ((kind == 1) & (parent < 0)).astype(np.int64)
+        rest = np.flatnonzero((kind == 1) & (parent >= 0))
+        while len(rest):  # parents come before, so each round leaves fewer
+            ready = level[parent[rest]] > 0
+            level[rest[ready]] = level[parent[rest[ready]]] + 1
+            rest = rest[~ready]
+        text = (kind == 3) & (parent >= 0)
+        level[text] = level[parent[text]]
+        return parent, level
+
+    def named(self, ns: str, local: str) -> np.ndarray:
+        return np.array([not ns and x == local for x in self.names] + [False])[self.name]
+
+    def attribute(self, at: np.ndarray, local: str) -> pa.Array:
+        own = np.flatnonzero(pc.fill_null(pc.equal(self.keys, local), False).to_numpy(zero_copy_only=False))
+        where = np.full(len(self.at), -1)
+        where[self.element[own]] = own  # the last one wins
+        return self.values.take(pa.array(where[at], mask=where[at] < 0))
+
+    def text(self, at: np.ndarray) -> pa.Array:
+        texts = pc.fill_null(self.rows.column("text").combine_chunks().take(pa.array(self.chunk[at])), "")
+        return pc.if_else(pa.array(self.chunks[at] > 0), texts, pa.scalar(None, pa.string()))
+
+
+def _begins(keys: pa.Array) -> np.ndarray:
+    """Where rows differ in key from the row before."""
+    try:
+        apart = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+    except pa.ArrowNotImplementedError:
+        values = keys.to_pylist()
+        apart = np.array([x != y for x, y in zip(values[1:], values[:-1], strict=True)], bool)
+    return np.flatnonzero(apart) + 1
+
+
+#: Rows of whole documents that are bound at a time.
+ROWS = 100_000
+
+
 def _by_document(rows: DataFrame, one: Callable[[list[dict]], Iterable[tuple]], schema: XmlSchema, options: XmlOptions, key: str) -> DataFrame:
-    """Rows (key, seq, ...) brought together by document, in order of seq, each document made into its row."""
+    """Rows (key, seq, event, name, text, attrs; of nodes also parent_id) brought together by document, in order of seq, each
+    document made into its row: by columns, or one by one where these leave it."""
     maker = Maker(_fields(schema), one, None, _REFUSED, options)
     fields = T.StructType([rows.schema[key], *maker.fields])
+    able = not schema.subtypes.get(schema.root) and _Columns.able(schema.struct)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def done(groups: list[list[dict]]) -> pa.RecordBatch:
-            made = [(g[0][key], *r) for g in groups for r in maker.one(g)]
-            columns = list(zip(*made, strict=True)) or [()] * (len(maker.fields) + 1)
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, t) for c, t in zip(columns[1:], maker.types, strict=True))], names=fields.names)
+    def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = table.column(key).combine_chunks()
+        begin = np.r_[0, _begins(keys)]
+        rest = np.arange(len(begin))
+        if able and not table.column("seq").null_count:
+            try:
+                tree = _RowTree(table, begin)
+                bound = _Columns(tree)
+                bound.bad |= tree.wrong
+                values, good = bound.roots_of(schema), np.flatnonzero(~bound.bad)
+                done = pa.RecordBatch.from_arrays([keys.take(pa.array(begin[good])), values.take(pa.array(good)), pa.array(np.ones(len(good), bool)), pa.nulls(len(good), pa.string())], names=fields.names)
+                rest = np.flatnonzero(bound.bad)
+                yield done
+            except (pa.ArrowException, ValueError, TypeError, OverflowError):  # one by one shows whose fault it is
+                rest = np.arange(len(begin))
+        ends = np.r_[begin[1:], table.num_rows]
+        groups = [table.slice(begin[i], ends[i] - begin[i]).to_pylist() for i in rest.tolist()]
+        if groups:
+            found = [(g[0][key], *r) for g in groups for r in maker.one(g)]
+            columns = list(zip(*found, strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], keys.type), *(pa.array(c, t) for c, t in zip(columns[1:], maker.types, strict=True))], names=fields.names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[pa.RecordBatch] = []  # whole documents
+        held: list[pa.RecordBatch] = []  # rows of the last one so far
         for batch in batches:
-            kind = batch.schema.field(key).type
-            groups: list[list[dict]] = []
-            for r in batch.to_pylist():
-                if held and r[key] != held[0][key]:
-                    groups.append(held)
-                    held = []
-                held.append(r)
-            if groups:
-                yield done(groups)
-        if held:
-            yield done([held])
+            if not batch.num_rows:
+                continue
+            begin = _begins(batch.column(key))
+            if held and batch.column(key)[0].as_py() != held[0].column(key)[0].as_py():
+                begin = np.r_[0, begin]
+            if not len(begin):
+                held.append(batch)
+                continue
+            last = int(begin[-1])
+            ready += [*held, batch.slice(0, last)]
+            held = [batch.slice(last)]
+            if sum(x.num_rows for x in ready) >= ROWS:
+                yield from made(pa.Table.from_batches(ready))
+                ready = []
+        if ready or held:
+            yield from made(pa.Table.from_batches([*ready, *held]))
 
     return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "seq").mapInArrow(run, fields)
 
@@ -520,14 +657,14 @@ def unmarshal_nodes(nodes: DataFrame, schema: XmlSchema, options: XmlOptions | N
         for r in group:
             while open_ and open_[-1][0] != r["parent_id"]:
                 yield close()
-            kind = START_ELEMENT if r["kind"] == "ELEMENT" else r["kind"]
-            yield {"seq": r["seq"], "event": kind, "name": r["name"], "text": r["value"], "attrs": r["attrs"]}
-            if kind == START_ELEMENT:
+            yield r
+            if r["event"] == START_ELEMENT:
                 open_.append((r["seq"], r["name"]))
         while open_:
             yield close()
 
-    rows = nodes.select(key, F.col("node_id").alias("seq"), "parent_id", "kind", "name", "value", "attrs")
+    event = F.when(F.col("kind") == "ELEMENT", START_ELEMENT).otherwise(F.col("kind")).alias("event")
+    rows = nodes.select(key, F.col("node_id").alias("seq"), "parent_id", event, "name", F.col("value").alias("text"), "attrs")
     return _finished(_by_document(rows, lambda group: one(_events_of(events(group))), schema, options, key), {"value": schema})
 
 
